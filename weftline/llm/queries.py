@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.llm import splitting, tokenizer, vector_neighbours, visual_form
+from weftline.llm import canonical, leakage, splitting, tokenizer, vector_neighbours, visual_form
 from weftline.plans.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,10 +25,20 @@ def p2_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_sections(read_table(spark, sf, "sections"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.col("type_guess")
+    loose = read_table(spark, sf, "unresolved").where(kind.isNull() | ~kind.isin("person", "organisation"))
+    return canonical.map_to_canonical(loose, read_table(spark, sf, "suggestions"))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenizer.encode_corpus(read_table(spark, sf, "documents"))
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaked_items(read_table(spark, sf, "documents"), read_table(spark, sf, "eval_items"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return visual_form.lookalike_pairs(read_table(spark, sf, "documents"))
 
@@ -37,7 +48,7 @@ def p8_forms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p6_ids, p8_found, p8_forms)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p6_ids, p7_found, p8_found, p8_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
