@@ -5,6 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.operators import orphans
+from weftline.plans.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -13,9 +17,63 @@ def entry(spark: SparkSession, sf: str) -> DataFrame:
     return spark.range(1)
 
 
+# --- references to records that do not exist -------------------------------------------------------------------------
+
+#: The corpus' foreign keys into nodes.id: referring table, its id, its reference.
+REFERENCES = (("edges", "edge_id", "to_id"), ("unresolved", "loose_id", "record_id"), ("sections", "section_id", "node_id"), ("embedding_datum", "datum_id", "node_id"))
+
+
+def corpus_orphans(spark: SparkSession, sf: str) -> DataFrame:
+    """All orphans of the corpus. A node hangs on the node that supersedes it and on its containers: the scope in its id and
+    the targets of its ``scope`` and ``project`` fields."""
+    nodes = read_table(spark, sf, "nodes")
+    refs = [orphans.references(read_table(spark, sf, t), t, key, ref) for t, key, ref in REFERENCES]
+    child, scope = F.col("id").alias("child"), F.regexp_extract("id", "^(.+)/[^/]*$", 1).alias("parent")
+    over = F.trim("superseded_by", F.lit(orphans.WHITE)).alias("parent")
+    live = nodes.where("deleted_at IS NULL")
+    within = read_table(spark, sf, "edges").where("origin = 'frontmatter' AND ref_type IN ('scope', 'project')")
+    held = within.select(F.trim("from_id", F.lit(orphans.WHITE)).alias("child"), F.trim("to_id", F.lit(orphans.WHITE)).alias("parent"))
+    return orphans.find_orphans(refs, nodes, live.select(child, over).unionByName(live.select(child, scope)).unionByName(held))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_orphans(spark, sf).where("origin = 'direct'").select("table_name", "row_id", "period", "kind")
+
+
+def p5_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_orphans(spark, sf)
+
+
+def p5_report(spark: SparkSession, sf: str) -> DataFrame:
+    return orphans.orphan_report(corpus_orphans(spark, sf))
+
+
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(5760) || chr(8192) || chr(8193) || chr(8194) || chr(8195) || chr(8196) || chr(8197) || chr(8198) || chr(8199) || chr(8200) || chr(8201) || chr(8202) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288)"
+_REFS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, {key} AS row_id, trim({ref}, {_BLANK}) AS ref, indexed_at AS seen_at FROM {t}" for t, key, ref in REFERENCES)
+_P5 = f"""WITH RECURSIVE refs AS (SELECT DISTINCT * FROM ({_REFS}) WHERE ref <> ''),
+states AS (SELECT id AS ref, bool_or(deleted_at IS NULL) AS alive, min(indexed_at) AS first_at FROM nodes GROUP BY id),
+links AS (SELECT DISTINCT l.* FROM (SELECT id AS child, trim(superseded_by, {_BLANK}) AS parent FROM nodes WHERE deleted_at IS NULL
+  UNION ALL SELECT id, regexp_extract(id, '^(.+)/[^/]*$', 1) FROM nodes WHERE deleted_at IS NULL
+  UNION ALL SELECT trim(from_id, {_BLANK}), trim(to_id, {_BLANK}) FROM edges WHERE origin = 'frontmatter' AND ref_type IN ('scope', 'project')) l
+  JOIN states c ON c.ref = child AND c.alive WHERE parent <> '' AND child <> parent),
+below(ref, depth) AS (SELECT child, 1 FROM links WHERE NOT EXISTS (SELECT 1 FROM states s WHERE s.ref = parent AND s.alive)
+  UNION SELECT child, depth + 1 FROM below JOIN links ON parent = ref WHERE depth < 60),
+depths AS (SELECT ref, min(depth) AS depth FROM below GROUP BY ref),
+judged AS (SELECT table_name, row_id, strftime(seen_at, '%Y-%m') AS period, CASE WHEN alive IS NULL THEN 'missing' WHEN NOT alive THEN 'deleted' WHEN first_at > seen_at THEN 'late' END AS kind,
+  depths.depth AS depth FROM refs LEFT JOIN states USING (ref) LEFT JOIN depths USING (ref)),
+found AS (SELECT DISTINCT table_name, row_id, period, coalesce(kind, 'inherited') AS kind, CASE WHEN kind IS NULL THEN 'inherited' ELSE 'direct' END AS origin,
+  CASE WHEN kind IS NULL THEN depth ELSE 0 END AS depth FROM judged WHERE kind IS NOT NULL OR depth IS NOT NULL)
+"""
+ORPHAN_SQL = {
+    "p5_found": _P5 + "SELECT table_name, row_id, period, kind FROM found WHERE origin = 'direct'",
+    "p5_cascade": _P5 + "SELECT * FROM found",
+    "p5_report": _P5 + "SELECT table_name, period, kind, origin, count(*) AS n FROM found GROUP BY ALL",
+}
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return {f.__name__: f for f in (p5_found, p5_cascade, p5_report)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORPHAN_SQL)
