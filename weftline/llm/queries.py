@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import canonical, leakage, splitting, tokenizer, vector_neighbours, visual_form
+from weftline.llm import canonical, entities, leakage, splitting, tokenizer, vector_neighbours, visual_form
 from weftline.plans.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,18 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.map_to_canonical(loose, read_table(spark, sf, "suggestions"))
 
 
+def _names(spark: SparkSession, sf: str) -> DataFrame:
+    return entities.node_names(read_table(spark, sf, "nodes")).unionByName(entities.loose_names(read_table(spark, sf, "unresolved")))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return entities.entity_pairs(_names(spark, sf))
+
+
+def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return entities.entity_groups(_names(spark, sf))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenizer.encode_corpus(read_table(spark, sf, "documents"))
 
@@ -48,7 +60,7 @@ def p8_forms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p6_ids, p7_found, p8_found, p8_forms)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p4_found, p4_groups, p6_ids, p7_found, p8_found, p8_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
