@@ -10,7 +10,7 @@ Defined results
       ``start`` are the repeated tail. Lengths count Unicode code points of the text alone, never of the heading.
     * texts without any boundary are cut at the limit, never between a letter and its combining marks or inside CR LF
       (unless more than 64 marks stand in a row).
-    * a null heading stays null on every piece; repeated rows are the caller's to drop (``split_sections`` drops them).
+    * a null heading stays null on every piece; repeated rows of the key column count once where one is named.
 """
 
 from __future__ import annotations
@@ -100,17 +100,20 @@ PIECE = T.StructType(
 )
 
 
-def split_oversized(df: DataFrame, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+def split_oversized(df: DataFrame, text: str, limit: int = LIMIT, overlap: int = OVERLAP, key: str | None = None) -> DataFrame:
     """One row per piece of every row's ``text``: the other columns, then ``piece_no lead start end n_chars piece``.
 
     Texts within the limit become their one piece inside the JVM; only oversized ones visit Python, as Arrow batches.
+    With ``key``, repeated rows of a key count once; they are dropped behind the size filter, so a reader of one kind of
+    piece shuffles that kind's texts only.
     """
     clash = {f.name for f in PIECE} & (set(df.columns) - {text})
     if clash:
         raise ValueError(f"columns {sorted(clash)} exist already")
     rest = [c for c in df.columns if c != text]
     size = F.length(text)
-    short = df.where(size <= limit).select(
+    once = (lambda part: part.dropDuplicates([key])) if key else (lambda part: part)
+    short = once(df.where(size <= limit)).select(
         *rest,
         *(F.lit(0).alias(n) for n in ("piece_no", "lead", "start")),
         size.alias("end"),
@@ -127,11 +130,10 @@ def split_oversized(df: DataFrame, text: str, limit: int = LIMIT, overlap: int =
             ]
         )
 
-    long = df.where(size > limit).select(*rest, F.explode(cut(F.col(text))).alias("p")).select(*rest, "p.*")
+    long = once(df.where(size > limit)).select(*rest, F.explode(cut(F.col(text))).alias("p")).select(*rest, "p.*")
     return short.unionByName(long)
 
 
 def split_sections(sections: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, key: str = "section_id") -> DataFrame:
     """The pieces of every section, each with its section's ``heading``; a section delivered twice is split once."""
-    once = sections.select(key, "heading", "body").dropDuplicates([key])
-    return split_oversized(once, "body", limit, overlap)
+    return split_oversized(sections.select(key, "heading", "body"), "body", limit, overlap, key)
