@@ -18,10 +18,12 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +32,8 @@ from weftline.plans.runtime import written
 
 #: Rows of the sample the trees are fitted on (bounded; every row is indexed).
 SAMPLE_ROWS = 40_000
+#: Nodes up to which margins come from one matrix product (a choice of speed, results are the same).
+DENSE_NODES = 16_384
 
 
 def fit_tree(sample: np.ndarray, leaves: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -99,28 +103,40 @@ class Forest:
         self.direction = np.concatenate([t["direction"] for t in trees])
         self.offset = np.concatenate([t["offset"] for t in trees])
 
-    def home(self, x: np.ndarray) -> np.ndarray:
+    def margins(self, x: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """A function of ``(rows, nodes)`` that gives the rows' signed margins to the nodes' splits.
+
+        Up to ``DENSE_NODES`` nodes one matrix product for all of them is cheaper than a product for each pair asked for.
+        """
+        if len(self.direction) <= DENSE_NODES:
+            every = x @ self.direction.T - self.offset
+            return lambda r, nodes: every[r, nodes]
+        return lambda r, nodes: np.einsum("ij,ij->i", x[r], self.direction[nodes]) - self.offset[nodes]
+
+    def home(self, x: np.ndarray, margins=None) -> np.ndarray:
         """The leaf of each row in each tree, ``(rows, trees)``."""
+        margins = margins or self.margins(x)
         at = np.broadcast_to(self.roots, (len(x), len(self.roots))).copy()
         while (inner := at >= 0).any():
             r, c = np.nonzero(inner)
             nodes = at[r, c]
-            margin = np.einsum("ij,ij->i", x[r], self.direction[nodes]) - self.offset[nodes]
+            margin = margins(r, nodes)
             at[r, c] = self.children[nodes, (margin <= 0).astype(np.int8)]
         return -at - 1
 
-    def search(self, x: np.ndarray, visits: int) -> np.ndarray:
+    def search(self, x: np.ndarray, visits: int, margins=None) -> np.ndarray:
         """The ``visits`` leaves a shared priority queue over all trees reaches first, ``(rows, <= visits)``, -1 for none.
 
-        The queues of all rows advance together, one level a step, each keeping its ``3 * visits`` best entries.
+        The queues of all rows advance together, one level a step, each keeping its ``2 * visits`` best entries.
         """
-        n, width = len(x), min(self.leaves, 3 * visits)
+        n, width = len(x), min(self.leaves, 2 * visits)
+        margins = margins or self.margins(x)
         at = np.broadcast_to(self.roots, (n, len(self.roots))).copy()
         pri = np.full(at.shape, np.inf, np.float32)
         while (inner := (at >= 0) & (pri > -np.inf)).any():
             r, c = np.nonzero(inner)
             nodes = at[r, c]
-            margin = np.einsum("ij,ij->i", x[r], self.direction[nodes]) - self.offset[nodes]
+            margin = margins(r, nodes)
             far = np.full(at.shape, -np.inf, np.float32)
             far_at = np.full(at.shape, -1, np.int32)
             far[r, c] = np.minimum(pri[r, c], -np.abs(margin))
@@ -137,14 +153,30 @@ class Forest:
         return np.where(pri > -np.inf, -at - 1, -1)
 
 
-def top_in_leaf(queries: np.ndarray, members: np.ndarray, keep: int, block: int = 1024) -> np.ndarray:
-    """Row numbers of each query's ``keep`` best members by single-precision cosine, ``(queries, <= keep)``."""
-    if len(members) <= keep:
-        return np.broadcast_to(np.arange(len(members)), (len(queries), len(members)))
+def top_in_leaf(queries: np.ndarray, members: np.ndarray, keep: int, block: int = 512, fold: int = 8) -> np.ndarray:
+    """Row numbers of each query's ``keep`` best members by single-precision cosine, ``(queries, <= keep)``.
+
+    Columns are folded: the best ``keep`` lie in the ``keep`` best of the columns' groups, so only those are ranked.
+    """
+    n = len(members)
+    if n <= keep:
+        return np.broadcast_to(np.arange(n), (len(queries), n))
+    groups = -(-n // fold)
+    if groups <= 2 * keep:
+        fold, groups = 1, n
     found = np.empty((len(queries), keep), np.int64)
     for at in range(0, len(queries), block):
-        s = queries[at : at + block] @ members.T
-        found[at : at + block] = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
+        part = queries[at : at + block]
+        s = np.full((len(part), fold * groups), -2, np.float32)
+        s[:, :n] = part @ members.T
+        if fold > 1:
+            best = s.reshape(len(part), fold, groups).max(axis=1)
+            column = np.argpartition(-best, keep - 1, axis=1)[:, :keep]
+            column = (column[:, None, :] + (np.arange(fold) * groups)[None, :, None]).reshape(len(part), -1)
+            inner = np.argpartition(-np.take_along_axis(s, column, 1), keep - 1, axis=1)[:, :keep]
+            found[at : at + block] = np.take_along_axis(column, inner, 1)
+        else:
+            found[at : at + block] = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
     return found
 
 
@@ -190,23 +222,38 @@ def binary_rows(x: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(x)])
 
 
-def distinct_vectors(df: DataFrame, key: str, vector: str, width: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """``(copies, distinct)``: the usable rows as ``(id, h, g)``, and per distinct direction ``(h, g, vid, reps, v)``.
+def usable_vectors(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
+    """``(id, h, v)`` of every usable row: 128 hash bits of the direction in millionths, and the vector as float32 bytes.
+
+    One numpy pass an Arrow batch; expressions over array elements would cost the JVM fifty times as much.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, vectors = batch.column(0), batch.column(1)
+            fits = pc.and_(pc.equal(pc.list_value_length(vectors), width), pc.is_valid(ids)).fill_null(False)
+            ids, vectors = ids.filter(fits), vectors.filter(fits)
+            x = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(-1, width)
+            good = np.isfinite(x).all(1) & (x != 0).any(1)
+            x = x[good]
+            unit = x.astype(np.float64)
+            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+            step = np.floor(unit * 1e6 + 0.5).astype(np.int32)
+            digest = pa.array([xxhash.xxh3_128_digest(row.tobytes()) for row in step], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(good)), digest, binary_rows(x)], names=["id", "h", "v"])
+
+    return df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v")).mapInArrow(run, "id bigint, h binary, v binary")
+
+
+def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
+    """Per distinct direction ``(h, vid, reps, v)``: ``vid`` is the lowest id with it, ``reps`` its ``k + 1`` lowest ids.
 
-    ``h, g`` are 96 hash bits of the direction in millionths; ``vid`` is the lowest id with it and ``reps`` its ``k + 1``
-    lowest ids. The rank filter prunes a hot vector's copies before the shuffle, so a third of all rows in one vector
-    costs no task more than ``k + 1`` rows a map task.
+    The rank filter prunes a hot vector's copies before the shuffle, so a third of all rows in one vector costs no task
+    more than ``k + 1`` rows a map task.
     """
-    v = F.col(vector)
-    usable = (F.size(v) == width) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    rows = df.where(v.isNotNull() & F.col(key).isNotNull() & usable).select(F.col(key).cast("bigint").alias("id"), v.cast("array<float>").alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    step = F.transform("v", lambda x: F.floor(x.cast("double") / F.col("norm") * 1e6 + 0.5).cast("int"))
-    rows = rows.withColumn("norm", norm).withColumn("step", step).select("id", "v", F.xxhash64("step").alias("h"), F.hash("step").alias("g"))
-    nth = F.row_number().over(Window.partitionBy("h", "g").orderBy("id"))
-    low = rows.groupBy("id", "h", "g").agg(F.first("v").alias("v")).withColumn("nth", nth).where(F.col("nth") <= k + 1)
-    distinct = low.groupBy("h", "g").agg(F.sort_array(F.collect_list("id")).alias("reps"), F.min_by("v", "id").alias("v"))
-    return rows.select("id", "h", "g"), distinct.withColumn("vid", F.col("reps")[0])
+    nth = F.row_number().over(Window.partitionBy("h").orderBy("id"))
+    low = rows.groupBy("id", "h").agg(F.first("v").alias("v")).withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    return low.groupBy("h").agg(F.sort_array(F.collect_list("id")).alias("reps"), F.min_by("v", "id").alias("v")).withColumn("vid", F.col("reps")[0])
 
 
 def similar_vectors(
@@ -228,13 +275,13 @@ def similar_vectors(
     an integer column.
     """
     spark = df.sparkSession
-    rows, distinct = distinct_vectors(df, key, vector, width, k)
-    distinct = written(distinct, "vectors")
+    rows = usable_vectors(df, key, vector, width)
+    distinct = written(distinct_vectors(rows, k), "vectors")
     total = distinct.count()
 
     share = min(1.0, 1.2 * sample_rows / max(total, 1))
     taken = distinct.select("v") if share >= 1 else distinct.select("v").sample(fraction=share, seed=seed)
-    sample = np.array([r for r in taken.limit(sample_rows).toPandas()["v"]], np.float64).reshape(-1, width)
+    sample = np.frombuffer(b"".join(taken.limit(sample_rows).toPandas()["v"]), np.float32).astype(np.float64).reshape(-1, width)
     sample = (sample / np.linalg.norm(sample, axis=1, keepdims=True)).astype(np.float32)
     rng = np.random.default_rng(seed)
     leaves = max(1, round(total / leaf_rows))
@@ -247,10 +294,11 @@ def similar_vectors(
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 vid = batch.column(0).to_numpy()
-                raw = batch.column(1).flatten().to_numpy().reshape(-1, width)
+                raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, width)
                 unit = raw.astype(np.float64)
                 unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
-                home, reached = f.home(unit), f.search(unit, visits)
+                margins = f.margins(unit)
+                home, reached = f.home(unit, margins), f.search(unit, visits, margins)
                 r, c = np.nonzero(reached >= 0)
                 row = np.r_[np.repeat(np.arange(len(vid)), home.shape[1]), r]
                 leaf = np.r_[home.ravel(), reached[r, c]].astype(np.int32)
@@ -290,8 +338,8 @@ def similar_vectors(
     options = outside.unionByName(own).groupBy("a").agg(F.slice(F.array_sort(F.collect_list(option)), 1, 2 * k + 2).alias("options"))
     # rows of a vector: its representatives by their array; further copies of a hot vector by a join on its hash
     few = distinct.where(F.size("reps") <= k).select(F.col("vid").alias("a"), F.explode("reps").alias("id"))
-    hot = distinct.where(F.size("reps") > k).select(F.col("vid").alias("a"), "h", "g")
-    many = rows.join(hot, ["h", "g"]).select("a", "id").distinct()
+    hot = distinct.where(F.size("reps") > k).select(F.col("vid").alias("a"), "h")
+    many = rows.select("id", "h").join(hot, "h").select("a", "id").distinct()
     members = few.unionByName(many).join(options, "a")
     picked = F.slice(F.filter("options", lambda o: o["neighbour"] != F.col("id")), 1, k)
     out = members.select("id", F.posexplode(picked).alias("pos", "o"))
