@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.spelling import abbreviates, allowed, deletes, distance, plain, uncamel
+from weftline.llm.spelling import LONGEST_WORD, abbreviates, allowed, deletes, distance, plain, uncamel
 from weftline.plans.runtime import cut
 
 # Common given names and the short forms in use for them (a parameter of the reader).
@@ -266,7 +266,7 @@ def near_cores(cores: DataFrame) -> DataFrame:
     index = cores.select("kind", "core", F.explode(variants("core")).alias("v")).select("kind", "core", F.xxhash64("v").alias("h"))
     left, right = index.select("kind", "h", F.col("core").alias("a")), index.select("kind", "h", F.col("core").alias("b"))
     pairs = left.join(right, ["kind", "h"]).where("a < b").select("kind", "a", "b").distinct()
-    most = lambda c: F.when(F.length(c) < 4, 0).when(F.length(c) < 7, 1).otherwise(2)
+    most = lambda c: F.when((F.length(c) < 4) | (F.length(c) > LONGEST_WORD), 0).when(F.length(c) < 7, 1).otherwise(2)
     close = pairs.withColumn("edits", edits("a", "b")).where(F.col("edits") <= F.least(most("a"), most("b")))
     both = close.unionByName(close.select("kind", F.col("b").alias("a"), F.col("a").alias("b"), "edits"))
     return both.unionByName(cores.select("kind", F.col("core").alias("a"), F.col("core").alias("b"), F.lit(0).alias("edits")))

@@ -53,9 +53,13 @@ def distance(a: str, b: str, most: int) -> int:
     return min(old[-1], most + 1)
 
 
+#: Letters up to which a token is compared by edits; a longer run is no typed word and only equals itself.
+LONGEST_WORD = 40
+
+
 def allowed(n: int) -> int:
     """Edits allowed in a token of ``n`` letters."""
-    return 0 if n < 4 else 1 if n < 7 else 2
+    return 0 if n < 4 or n > LONGEST_WORD else 1 if n < 7 else 2
 
 
 def deletes(token: str, depth: int) -> set[str]:
