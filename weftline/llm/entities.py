@@ -88,7 +88,7 @@ class NameReader:
         """The known given name ``token`` is, perhaps misspelt by one edit; None for other tokens."""
         if token not in self.seen:
             found = token if token in self.formal else None
-            if found is None and len(token) >= 4:
+            if found is None and 4 <= len(token) <= LONGEST_WORD:
                 close = {n for d in deletes(token, 1) for n in self.near.get(d, ()) if distance(token, n, 1) == 1}
                 found = min(close) if len(close) == 1 or (close and len({f for n in close for f in self.formal[n]}) == 1) else None
             if len(self.seen) > 200_000:

@@ -57,6 +57,7 @@ def units(text: str, start: int, end: int, room: int, level: int = 0) -> Iterato
     if level == len(SEPARATORS):
         while end - start > room:
             cut = safe_cut(text, start + room)
+            cut = cut if cut > start else start + room
             yield start, cut
             start = cut
         if end > start:
