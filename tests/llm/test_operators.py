@@ -217,6 +217,21 @@ def test_a_name_that_fits_two_joins_neither(spark):
     assert entities.entity_pairs(spark.createDataFrame(data, "key string, name string, hint string")).collect() == []
 
 
+def test_names_align_over_all_their_tokens(spark):
+    data = [("a", "Anna Garcia Lopez", "person"), ("b", "Garcia Lopez, Anna", "person"), ("c", "Blue Harbour Foods Ltd", "organisation"), ("d", "Red Harbour Foods Ltd", "organisation"), ("e", "Harbour Foods", "organisation"), ("f", "Harbour Blue Foods", "organisation")]
+    assert rows(entities.entity_pairs(spark.createDataFrame(data, "key string, name string, hint string"))) == {("a", "b"), ("c", "f")}
+
+
+def test_assignment_is_the_best_one():
+    r = random.Random(1)
+    for _ in range(500):
+        n = r.randint(1, 4)
+        w = [[r.choice([0, 0.5, 0.9, 1]) for _ in range(5)] for _ in range(n)]
+        got = spelling.assign(w)
+        assert len(set(got)) == n
+        assert abs(sum(w[i][j] for i, j in enumerate(got)) - max(sum(w[i][p[i]] for i in range(n)) for p in itertools.permutations(range(5), n))) < 1e-9
+
+
 def test_node_names(spark):
     data = [("p:1", "person", '{"name": "A B"}'), ("p:2", "person", '{"name": " ", "aliases": ["C D", "E F"]}'), ("p:3", "person", '{"aliases": "G H"}'), ("p:4", "person", "{broken"), ("p:5", "person", None), ("s:1", "system", '{"name": "X"}'), ("p:1", "person", '{"name": "A B"}')]
     got = rows(entities.node_names(spark.createDataFrame(data, "id string, type string, frontmatter string")))

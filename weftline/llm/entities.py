@@ -1,13 +1,13 @@
 """Linking the spellings people use for one person or organisation (problem 4).
 
-Names are read into a core token (surname, or the proper word of an organisation), a given name and middle initial, or a
-line of business. Cores are joined through a symmetric-delete neighbourhood index, which finds small edit distances
-without comparing all cores; the remaining tokens of two names are aligned by the best assignment, where initials,
-abbreviations and nicknames may stand for full tokens. Full names that agree are linked and closed over by label
-propagation; names that leave something open (initials, a bare core) join a group only if exactly one fits.
+Names are read into all their tokens, of which the likeliest surname or proper word is the core. Every token goes through
+a symmetric-delete neighbourhood index, which finds small edit distances without comparing all tokens; the tokens of two
+names are then aligned one to one by the best assignment, where initials, abbreviations and nicknames may stand for full
+tokens. Full names that align are linked and closed over by label propagation; names that say less (initials, a bare
+core, a word left out) join a group only if exactly one fits.
 
 Scale: equal spellings collapse to one form before anything is compared, so a name held by a third of all rows costs one
-form; forms are compared only within a core neighbourhood and initial. Labels travel in checkpointed rounds, nothing is
+form; forms are compared only where a token is near and another begins alike. Labels travel in checkpointed rounds, nothing is
 collected.
 
 Defined results
@@ -19,14 +19,15 @@ Defined results
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.spelling import LONGEST_WORD, abbreviates, allowed, deletes, distance, plain, uncamel
+from weftline.llm.spelling import LONGEST_WORD, abbreviates, allowed, assign, deletes, distance, plain, uncamel
 from weftline.plans.runtime import cut
 
 # Common given names and the short forms in use for them (a parameter of the reader).
@@ -60,6 +61,10 @@ WORK = set("planner auditor reviewer lead clerk manager engineer analyst directo
 NOBODY = set("that some someone somebody whoever whatever anyone person unknown tbd tbc na nobody none new".split())
 VAGUE_END = set("company auditors contact reviewer desk supplier team people office crew".split())
 
+# Of a token: readings of organisations, of persons, with the token at the place of a given name, of a surname.
+Evidence = dict[str, tuple[int, int, int, int]]
+NOTHING = (0, 0, 0, 0)
+
 
 def nickname_table(text: str = NICKNAMES) -> dict[str, frozenset[str]]:
     """Given name or short form -> the formal names it may stand for."""
@@ -73,7 +78,12 @@ def nickname_table(text: str = NICKNAMES) -> dict[str, frozenset[str]]:
 
 
 class NameReader:
-    """Reads names into forms ``kind|core|given|middle|business``."""
+    """Reads names into readings of all their tokens, and readings into forms ``kind|core|other tokens|known tokens``.
+
+    A reading is ``hint|tokens before a comma|the one upper-case token|login|tokens``. A token that was cut off with a
+    point (``Mar.``) keeps the point. ``evidence`` is what all rows tell of a token: in how many readings of organisations
+    and of persons it stands, and there in how many at the place of a given name and of a surname.
+    """
 
     def __init__(self, nicknames: dict[str, frozenset[str]] | None = None) -> None:
         self.formal = nickname_table() if nicknames is None else nicknames
@@ -96,7 +106,7 @@ class NameReader:
             self.seen[token] = found
         return self.seen[token]
 
-    def read(self, name: str | None, hint: str | None = None) -> str | None:
+    def reading(self, name: str | None, hint: str | None = None) -> str | None:
         text = plain(name or "").strip()
         text = re.sub(r"\([^)]*\)?|\[[^\]]*\]?", " ", text)
         text = re.sub(r"\s+/\s+.*$", " ", text)
@@ -107,73 +117,87 @@ class NameReader:
         text = uncamel(text).casefold().replace("&", " and ").replace("+", " and ")
         parts = [p for p in text.split(",") if re.search(r"[a-z]", p)]
         parts = [p for i, p in enumerate(parts) if not i or not any(w in WORK for w in re.findall(r"[a-z]+", p))]
-        text, comma = " ".join(parts), len(parts) > 1
+        text = " ".join(parts)
         tokens = re.findall(r"[a-z0-9]+", text)
         if not tokens or tokens[0] in NOBODY or (tokens[0] in ("the", "that", "a") and tokens[-1] in VAGUE_END - {"people"}):
             return None
-        tokens = [t for t in tokens if t not in ADDRESS and not t.isdigit()]
+        cut_off = set(re.findall(r"\b([a-z]{2,3})\.(?=\s|$)", text)) - set(self.formal) - LEGAL - PARTNERS
+        split = [[t for t in re.findall(r"[a-z0-9]+", p) if t not in ADDRESS and not t.isdigit()] for p in parts]
+        tokens, head = [t for p in split for t in p], len(split[0]) if len(split) > 1 else 0
         if tokens and tokens[0] == "the" and not re.match(r"\s*the\.", text):
-            tokens = tokens[1:]
+            tokens, head = tokens[1:], max(0, head - 1)
             if tokens and tokens[-1] == "people":
                 tokens = tokens[:-1]
         if not tokens:
             return None
-        return self._organisation(tokens, hint) or self._person(tokens, comma, name or "")
-
-    def _organisation(self, tokens: list[str], hint: str | None) -> str | None:
-        rest, business = [], set()
-        sure = False
-        short = hint == "organisation" or any(t in LEGAL or t in PARTNERS for t in tokens)
-        for t in tokens:
-            if t in LEGAL or t in PARTNERS or t in LOOSE:
-                sure = sure or t in PARTNERS or t == "group" or t in LEGAL
-                continue
-            lines = {b for b in BUSINESS if b == t} or {b for b in BUSINESS if len(t) >= 5 and self.given(t) is None and distance(t, b, allowed(len(t))) <= allowed(len(t))}
-            if not lines and short and len(t) <= 5 and self.given(t) is None:
-                lines = {b for b in BUSINESS if len(t) >= 3 and abbreviates(t, b)}
-            if lines and (len(tokens) > 1):
-                business |= lines
-            else:
-                rest.append(t)
+        raw = name or ""
+        shout = {w.casefold() for w in re.findall(r"\b[A-Z]{3,}\b", plain(raw))} & set(tokens)
+        login = len(tokens) == 1 and len(tokens[0]) >= 7 and tokens[0] in raw
+        kind = hint[0] if hint in ("person", "organisation") else ""
+        return f"{kind}|{head if head < len(tokens) else 0}|{min(shout) if len(shout) == 1 < len(tokens) else ''}|{int(login)}|{' '.join(t + '.' * (t in cut_off) for t in tokens)}"
+
+    def read(self, name: str | None, hint: str | None = None, evidence: Evidence | None = None) -> str | None:
+        reading = self.reading(name, hint)
+        return self.form(reading, evidence or {}) if reading else None
+
+    def form(self, reading: str, evidence: Evidence) -> str | None:
+        """The form of a reading, given the evidence on its tokens."""
+        hint, head, shout, login, text = reading.split("|")
+        tokens = text.split()
+        return self._organisation(tokens, hint, evidence) or self._person(tokens, int(head), shout, login == "1", evidence)
+
+    def line(self, token: str) -> bool:
+        """Whether a token is, perhaps misspelt, a line of business of the table."""
+        return token in BUSINESS or (len(token) >= 5 and self.given(token) is None and any(distance(token, b, allowed(len(token))) <= allowed(len(token)) for b in BUSINESS))
+
+    def shortened(self, token: str) -> bool:
+        """Whether a token is a line of business cut short."""
+        return token.endswith(".") or (3 <= len(token) <= 5 and token not in BUSINESS and self.given(token) is None and any(abbreviates(token, b) for b in BUSINESS))
+
+    def _organisation(self, tokens: list[str], hint: str, evidence: Evidence) -> str | None:
+        skip = LEGAL | PARTNERS | LOOSE
+        rest = [t for t in tokens if t not in skip]
         if not rest:
             return None
+        firm = any(t in LEGAL or t in PARTNERS or t == "group" for t in tokens)
+        lines = [t for t in rest if self.line(t) or ((firm or hint == "o") and self.shortened(t))] if len(rest) > 1 else []
         people = [t for t in rest if self.given(t)]
-        if business and not people:
-            sure = True
-        if sure and people and not business and hint != "organisation":
-            sure = False
-        if not sure and not (hint == "organisation" and len(rest) == 1):
+        sure = bool(lines and not people) or (firm and not (people and not lines and hint != "o"))
+        if not sure and not (hint == "o" and len(rest) == 1):
+            o, p = (sum(evidence.get(t, NOTHING)[k] for t in rest) for k in (0, 1))
+            if people or any(len(t) == 1 for t in rest) or not o > (p if hint == "o" else 2 * p):
+                return None
+        core = min([t for t in rest if t not in lines] or rest, key=lambda t: (t.endswith("."), sum(evidence.get(t, NOTHING)[:2]), -len(t) if not evidence else 0))
+        rest.remove(core)
+        return f"o|{core}|{' '.join(sorted(set(rest) - {core}))}|{' '.join(sorted({t for t in rest if t in BUSINESS}))}"
+
+    def _person(self, tokens: list[str], head: int, shout: str, login: bool, evidence: Evidence) -> str | None:
+        kept = [(i < head, t) for i, t in enumerate(tokens) if t not in LEGAL or len(t) == 1 or self.given(t)]
+        full = [(before, t) for before, t in kept if len(t) > 1 and not t.endswith(".")]
+        if not full:
             return None
-        core = max(rest, key=len)
-        return f"o|{core}|||{' '.join(sorted(business))}" if len(core) >= 4 else None
+        if login and self.is_login(full[0][1], evidence):
+            return f"p|{full[0][1][:-1]}|{full[0][1][-1]}|"
 
-    def _person(self, tokens: list[str], comma: bool, raw: str) -> str | None:
-        tokens = [t for t in tokens if t not in LEGAL or len(t) == 1 or self.given(t)]
-        long = [t for t in tokens if len(t) > 1]
-        if not long:
-            return None
-        known = [t for t in long if self.given(t)]
-        shout = [w.casefold() for w in re.findall(r"\b[A-Z]{4,}\b", plain(raw))]
-        if len(long) == 1:
-            core = long[0]
-            if tokens == long and len(core) >= 7 and core in raw:
-                return f"p|{core[:-1]}|{core[-1]}||"  # a login: surname and initial
-        elif len(known) == 1 or (known and len(known) < len(long)):
-            core = max((t for t in long if t not in known[:1]), key=len)
-        elif len(set(shout)) == 1 and shout[0] in long:
-            core = shout[0]
-        else:
-            core = long[0] if comma else max(long, key=lambda t: (len(t) >= 7, long.index(t)))
+        def surname(at: int) -> tuple:
+            before, t = full[at]
+            _, _, g, s = evidence.get(t, NOTHING)
+            sign = math.log((s + 0.5) / (g + 0.5)) + 2 * before + 2 * (t == shout) - (3 if t in self.formal else 2 if self.given(t) else 0)
+            return (round(sign, 6), len(t) >= 7 if not evidence else 0, at)
+
+        chosen = full[max(range(len(full)), key=surname)]
+        core = chosen[1]
         if len(core) < 4:
             return None
-        others = list(tokens)
+        others = [t for before, t in sorted(kept, key=lambda x: x[0]) if t]
         others.remove(core)
-        full = [t for t in others if len(t) > 1]
-        given = next((t for t in full if self.given(t)), full[0] if full else others[0] if others else "")
-        if given in others:
-            others.remove(given)
-        middle = next((t[0] for t in others), "") if len(given) > 1 else ""
-        return f"p|{core}|{given}|{middle}|"
+        known = {t for _, t in full if t in self.formal or (lambda e: e[2] >= 3 and e[2] > e[3])(evidence.get(t, NOTHING))}
+        return f"p|{core}|{' '.join(others)}|{' '.join(sorted(known))}"
+
+    @staticmethod
+    def is_login(token: str, evidence: Evidence) -> bool:
+        """Whether a lower-case token is a surname with an initial after it: not if it stands as a name elsewhere."""
+        return not sum(evidence.get(token, NOTHING)[2:])
 
     def names(self, given: str) -> frozenset[str]:
         """The formal names a given token may stand for, itself included."""
@@ -182,33 +206,95 @@ class NameReader:
 
     def open(self, form: str) -> bool:
         """Whether a form leaves the given name or line of business open."""
-        kind, _, given, _, business = form.split("|")
-        return " " in business or not business if kind == "o" else len(given) < 2 or (len(given) <= 3 and given not in self.formal)
-
-    def agree(self, a: str, b: str, edits: int = 0) -> bool:
-        """Whether the tokens of two forms beside their cores can be aligned."""
-        ka, _, ga, ma, ba = a.split("|")
-        kb, _, gb, mb, bb = b.split("|")
-        if ka != kb:
-            return False
-        if ka == "o":
-            return not ba or not bb or bool(set(ba.split()) & set(bb.split()))
-        if ma and mb and ma != mb:
-            return False
-        if not ga or not gb:
-            return True
-        na, nb = self.names(ga), self.names(gb)
-        if na & nb:
-            return True
-        if len(ga) == 1 or len(gb) == 1:
-            return any(x[0] == y[0] for x in na for y in nb)
-        short, full = (ga, nb) if len(ga) <= len(gb) else (gb, na)
-        if len(short) <= 4 and short not in self.formal and any(n.startswith(short) for n in full):
-            return True
-        if self.given(ga) and self.given(gb):
-            return False
-        most = min(allowed(len(ga)), allowed(len(gb)))
-        return edits < 2 and distance(ga, gb, most) <= most
+        kind, _, others, _ = form.split("|")
+        rest = others.split()
+        if kind == "o":
+            return all(self.shortened(t) for t in rest)
+        return not rest or len(rest[0]) == 1 or rest[0].endswith(".")
+
+    def keys(self, form: str, bare: bool = False) -> list[tuple[str, str]]:
+        """``(token, beginning of another token)`` of all tokens; ``bare``: also the core with ``*``.
+
+        Two forms that agree share such a pair, the tokens up to a few edits. Known tokens are held by many forms and take
+        three letters of the other token.
+        """
+        kind, core, others, known = form.split("|")
+        tokens, often = [core, *others.split()], set(known.split())
+        out = {(core, "*")} if bare or len(tokens) == 1 else set()
+        for i, t in enumerate(tokens):
+            if len(t) == 1 or t.endswith("."):
+                continue
+            for j, other in enumerate(tokens):
+                if i == j:
+                    continue
+                names = self.names(other) if kind == "p" and j else {other}
+                if len(other) >= 3 and not other.endswith("."):
+                    out |= {(t, n[:3]) for n in names}
+                if t not in often:
+                    out |= {(t, n[0]) for n in names}
+        return sorted(out)
+
+    def edge(self, kind: str, s: str, t: str, known: set[str], cores: int) -> tuple[float, int, int]:
+        """``(weight, edits, side)`` of aligning two tokens; side -1 or 1: the first or second only stands for the other."""
+        if s == t:
+            return 1.0, 0, 0
+        if len(s) == 1 or len(t) == 1 or s.endswith(".") or t.endswith("."):
+            if cores:
+                return 0.0, 0, 0
+            side = -1 if len(s) == 1 or (s.endswith(".") and len(t) > 1) else 1
+            short, full = (s.rstrip("."), t) if side < 0 else (t.rstrip("."), s)
+            fits = any(n.startswith(short) or len(n) == 1 and short.startswith(n) for n in self.names(full)) if kind == "p" else full.startswith(short) or abbreviates(short, full) > 0
+            fits = fits or (kind == "p" and len(short) == 1 and full.rstrip(".")[0] == short)
+            return (0.5 if fits else 0.0), 0, side
+        if kind == "p" and not cores:
+            if self.names(s) & self.names(t):
+                return 0.9, 0, 0
+            short, full = (s, t) if len(s) <= len(t) else (t, s)
+            if len(short) <= 4 and short not in known and short not in self.formal and any(n.startswith(short) for n in self.names(full)) and distance(s, t, 1) > (len(short) >= 4):
+                return 0.6, 0, -1 if short == s else 1
+            if (s in known or self.given(s)) and (t in known or self.given(t)):
+                return 0.0, 0, 0
+        most = min(allowed(len(s)), allowed(len(t)))
+        e = distance(s, t, most)
+        if e <= most:
+            return 1 - 0.1 * e, e, 0
+        if kind == "o" and not cores:
+            short, full = (s, t) if len(s) <= len(t) else (t, s)
+            if 3 <= len(short) <= 5 and short not in BUSINESS and abbreviates(short, full):
+                return 0.5, 0, -1 if short == s else 1
+        return 0.0, 0, 0
+
+    def agree(self, a: str, b: str) -> int:
+        """How the tokens of two forms align one to one.
+
+        0 not at all, 1 as the same name, 2 ``a`` says less than ``b``, 3 ``b`` says less, 4 each says less at some token;
+        ten times the edits of the cores is added.
+        """
+        kind, core_a, others_a, known_a = a.split("|")
+        kind_b, core_b, others_b, known_b = b.split("|")
+        if kind != kind_b:
+            return 0
+        x, y = [core_a, *others_a.split()], [core_b, *others_b.split()]
+        known = set(known_a.split()) | set(known_b.split())
+        turned = len(x) > len(y)
+        if turned:
+            x, y = y, x
+        edges = [[self.edge(kind, s, t, known, (not i) + (not j)) for j, t in enumerate(y)] for i, s in enumerate(x)]
+        pairs = assign([[e[0] for e in row] for row in edges])
+        if any(not edges[i][j][0] for i, j in enumerate(pairs)):
+            return 0
+        used = [edges[i][j] for i, j in enumerate(pairs)]
+        left = [t for j, t in enumerate(y) if j not in pairs and len(t) > 1]
+        whole = sum(not side and len(x[i]) > 1 for i, (_, _, side) in enumerate(used))
+        if 0 not in pairs and whole < 2:
+            return 0
+        core_edits = max(used[0][1], used[pairs.index(0)][1] if 0 in pairs else 0)
+        if core_edits > 1 and sum(e for _, e, _ in used) > core_edits:
+            return 0
+        less_x, less_y = bool(left) or any(side < 0 for _, _, side in used), any(side > 0 for _, _, side in used)
+        if turned:
+            less_x, less_y = less_y, less_x
+        return 10 * core_edits + 1 + less_x + 2 * less_y
 
 
 def node_names(nodes: DataFrame) -> DataFrame:
@@ -244,7 +330,7 @@ def read_forms(names: DataFrame) -> DataFrame:
     """``(key, form)``, distinct, of every name that names somebody."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = NameReader()
+        reader = NameReader.shared()
         for pdf in batches:
             form = [reader.read(n, h) for n, h in zip(pdf["name"], pdf["hint"], strict=True)]
             yield pd.DataFrame({"key": pdf["key"], "form": form}).dropna()
@@ -289,6 +375,45 @@ def components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 60) -> D
     return vertices.join(linked, "form", "left").select("form", F.coalesce("label", "form").alias("label"))
 
 
+def candidates(left: DataFrame, right: DataFrame, near: DataFrame, bare_left: bool, bare_right: bool) -> DataFrame:
+    """``(x, y)``: forms that hold near tokens beside other tokens of the same beginning."""
+
+    @F.udf("array<struct<t:string,k:string>>")
+    def keys(form: str, bare: bool) -> list[tuple[str, str]]:
+        return NameReader.shared().keys(form, bare)
+
+    def keyed(forms: DataFrame, bare: bool) -> DataFrame:
+        rows = forms.select("kind", "form", F.explode(keys("form", F.lit(bare))).alias("i"))
+        return rows.select("kind", "form", F.col("i.t").alias("t"), F.col("i.k").alias("k"))
+
+    a = keyed(left, bare_left).withColumnsRenamed({"form": "x", "t": "a"}).join(near, ["kind", "a"])
+    b = keyed(right, bare_right).withColumnsRenamed({"form": "y", "t": "b"})
+    return a.join(b, ["kind", "b", "k"]).where("x <> y").select("x", "y").distinct()
+
+
+def agreement(x: str, y: str) -> Column:
+    """``NameReader.agree`` of two columns."""
+
+    @F.pandas_udf("int")
+    def how(a: pd.Series, b: pd.Series) -> pd.Series:
+        reader = NameReader.shared()
+        return pd.Series([reader.agree(p, q) for p, q in zip(a, b, strict=True)], dtype="int32")
+
+    return how(x, y)
+
+
+def grouped(forms: DataFrame, near: DataFrame, bare: bool = False) -> DataFrame:
+    """``(form, label)``: forms that align as the same name, closed over; a group that says less joins the one that it fits."""
+    pairs = candidates(forms, forms, near, bare, bare).where("x < y").withColumn("how", agreement("x", "y") % 10)
+    pairs = cut(pairs.where("how BETWEEN 1 AND 3"))
+    groups = cut(components(forms.select("form"), pairs.where("how = 1").select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    less = pairs.where("how = 2").select("x", "y").unionByName(pairs.where("how = 3").select(F.col("y").alias("x"), F.col("x").alias("y")))
+    of = lambda c, name: groups.select(F.col("form").alias(c), F.col("label").alias(name))
+    fits = less.join(of("x", "a"), "x").join(of("y", "b"), "y").where("a <> b").groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("far"))
+    wider = components(groups.select(F.col("label").alias("form")).distinct(), fits.where("b = far").select("a", "b"))
+    return groups.withColumnRenamed("label", "old").join(wider.withColumnRenamed("form", "old"), "old").select("form", "label")
+
+
 def link_forms(forms: DataFrame) -> DataFrame:
     """``(form, label)``: the group of every form that is in one."""
 
@@ -296,41 +421,23 @@ def link_forms(forms: DataFrame) -> DataFrame:
     def is_open(form: str) -> bool:
         return NameReader.shared().open(form)
 
-    @F.udf("array<string>")
-    def initials(form: str) -> list[str]:
-        kind, _, given, _, _ = form.split("|")
-        return ["*"] if kind == "o" or not given else sorted({n[0] for n in NameReader.shared().names(given)})
-
-    @F.pandas_udf("boolean")
-    def agree(a: pd.Series, b: pd.Series, edits: pd.Series) -> pd.Series:
-        reader = NameReader.shared()
-        return pd.Series([reader.agree(x, y, e) for x, y, e in zip(a, b, edits, strict=True)], dtype="bool")
-
     part = F.split("form", r"\|")
-    rows = cut(forms.select("form").distinct().select("form", part[0].alias("kind"), part[1].alias("core"), is_open("form").alias("open"), initials("form").alias("initials")))
-    near = cut(near_cores(rows.select("kind", "core").distinct()))
-    keyed = rows.withColumn("initial", F.explode("initials"))
-    full = keyed.where("NOT open").select("kind", "core", "form", "initial")
-
-    # full names: same neighbourhood and initial, tokens aligned
-    left = full.withColumnRenamed("form", "x").join(near.withColumnRenamed("a", "core"), ["kind", "core"]).select("kind", "x", "initial", "b", "edits")
-    right = full.select("kind", F.col("core").alias("b"), F.col("form").alias("y"), "initial")
-    pairs = left.join(right, ["kind", "b", "initial"]).where("x < y").select("x", "y", "edits").distinct()
-    edges = pairs.where(agree("x", "y", "edits")).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    groups = cut(components(rows.where("NOT open").select("form"), edges))
+    rows = cut(forms.select("form").distinct().select("form", part[0].alias("kind"), part[1].alias("core"), part[2].alias("others"), is_open("form").alias("open")))
+    words = rows.select("kind", F.explode(F.concat(F.array("core"), F.split("others", " "))).alias("core")).where("length(core) > 1")
+    near = cut(near_cores(words.distinct()))
+    whole, some = rows.where("NOT open").select("kind", "form"), rows.where("open").select("kind", "form")
+    groups = cut(grouped(whole, near))
 
     # open names: the one group that fits, nearest cores first
-    some = rows.where("open").select("kind", "core", F.col("form").alias("x")).join(near.withColumnRenamed("a", "core"), ["kind", "core"])
-    whole = rows.where("NOT open").select("kind", F.col("core").alias("b"), F.col("form").alias("y")).join(groups.withColumnRenamed("form", "y"), "y")
-    fits = some.join(whole, ["kind", "b"]).where(agree("x", "y", "edits")).select("x", "edits", "label").distinct()
+    fits = candidates(some, whole, near, False, True).withColumn("how", agreement("x", "y")).where("how > 0")
+    fits = fits.join(groups.withColumnRenamed("form", "y"), "y").select("x", F.floor(F.col("how") / 10).alias("edits"), "label").distinct()
     nearest = fits.groupBy("x", "edits").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("n"))
-    nearest = nearest.groupBy("x").agg(F.min_by(F.struct("label", "n"), "edits").alias("f")).select("x", "f.label", "f.n")
+    nearest = cut(nearest.groupBy("x").agg(F.min_by(F.struct("label", "n"), "edits").alias("f")).select("x", "f.label", "f.n"))
     joined = nearest.where("n = 1").select(F.col("x").alias("form"), "label")
 
     # open names that fit no group: together by core and initial
-    alone = keyed.where("open").join(nearest, F.col("form") == F.col("x"), "left_anti")
-    mates = alone.select("form", F.concat_ws("|", "kind", "core", F.when(F.col("kind") == "p", F.col("initial")).otherwise("*")).alias("label"))
-    mates = mates.groupBy("form").agg(F.min("label").alias("label"))
+    alone = rows.where("open").join(nearest, F.col("form") == F.col("x"), "left_anti")
+    mates = alone.select("form", F.concat_ws("|", "kind", "core", F.when(F.col("kind") == "p", F.substring("others", 1, 1)).otherwise("*")).alias("label"))
     return groups.unionByName(joined).unionByName(mates)
 
 

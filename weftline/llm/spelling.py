@@ -82,6 +82,42 @@ def abbreviates(short: str, full: str) -> float:
     return 0.0
 
 
+def assign(weights: list[list[float]]) -> list[int]:
+    """The column of each row in the one-to-one assignment of the greatest sum; there are at least as many columns as rows.
+
+    The Hungarian method with potentials: rows squared times columns.
+    """
+    n, m = len(weights), len(weights[0])
+    u, v, row_of, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        row_of[0], j = i, 0
+        least, used = [float("inf")] * (m + 1), [False] * (m + 1)
+        while row_of[j]:
+            used[j] = True
+            delta, to = float("inf"), 0
+            for k in range(1, m + 1):
+                if not used[k]:
+                    cost = -weights[row_of[j] - 1][k - 1] - u[row_of[j]] - v[k]
+                    if cost < least[k]:
+                        least[k], way[k] = cost, j
+                    if least[k] < delta:
+                        delta, to = least[k], k
+            for k in range(m + 1):
+                if used[k]:
+                    u[row_of[k]] += delta
+                    v[k] -= delta
+                else:
+                    least[k] -= delta
+            j = to
+        while j:
+            row_of[j], j = row_of[way[j]], way[j]
+    out = [0] * n
+    for k in range(1, m + 1):
+        if row_of[k]:
+            out[row_of[k] - 1] = k - 1
+    return out
+
+
 def sounded(token: str) -> str:
     """A light phonetic key: spellings that sound alike share it."""
     for a, b in (("ph", "f"), ("ck", "k"), ("ks", "x"), ("th", "t"), ("qu", "kv"), ("c", "k"), ("w", "v"), ("z", "s"), ("y", "i"), ("d", "t")):
