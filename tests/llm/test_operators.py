@@ -232,6 +232,11 @@ def test_assignment_is_the_best_one():
         assert abs(sum(w[i][j] for i, j in enumerate(got)) - max(sum(w[i][p[i]] for i in range(n)) for p in itertools.permutations(range(5), n))) < 1e-9
 
 
+def test_names_outside_the_tables_link(spark):
+    data = [("a", "Wolfgang Meyer", "person"), ("b", "Meyer, Wolfgang", "person"), ("c", "W. Meyer", "person"), ("d", "Acme Bakery", "organisation"), ("e", "Acme Bakery Ltd", "organisation"), ("f", "Best Bakery Ltd", "organisation"), ("g", "Jill Henderson", "person"), ("h", "henderson", "person")]
+    assert rows(entities.entity_pairs(spark.createDataFrame(data, "key string, name string, hint string"))) == {("a", "b"), ("a", "c"), ("b", "c"), ("d", "e"), ("g", "h")}
+
+
 def test_node_names(spark):
     data = [("p:1", "person", '{"name": "A B"}'), ("p:2", "person", '{"name": " ", "aliases": ["C D", "E F"]}'), ("p:3", "person", '{"aliases": "G H"}'), ("p:4", "person", "{broken"), ("p:5", "person", None), ("s:1", "system", '{"name": "X"}'), ("p:1", "person", '{"name": "A B"}')]
     got = rows(entities.node_names(spark.createDataFrame(data, "id string, type string, frontmatter string")))

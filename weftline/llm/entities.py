@@ -6,6 +6,9 @@ names are then aligned one to one by the best assignment, where initials, abbrev
 tokens. Full names that align are linked and closed over by label propagation; names that say less (initials, a bare
 core, a word left out) join a group only if exactly one fits.
 
+Which token is a surname, a given name or a proper word follows from all rows: how often a token stands before and after
+the others, and in names of persons and of organisations. The tables of given names and lines of business only add to it.
+
 Scale: equal spellings collapse to one form before anything is compared, so a name held by a third of all rows costs one
 form; forms are compared only where a token is near and another begins alike. Labels travel in checkpointed rounds, nothing is
 collected.
@@ -326,16 +329,52 @@ def loose_names(unresolved: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.lit("loose:"), F.col("loose_id").cast("string")).alias("key"), F.col("descriptor").alias("name"), F.col("type_guess").alias("hint"))
 
 
+def tell(reading: str) -> list[tuple[str, int, int, int, int]]:
+    """What one reading tells of each of its tokens: ``(token, *evidence)``."""
+    hint, head, shout, login, text = reading.split("|")
+    full = [(i, t) for i, t in enumerate(text.split()) if len(t) > 1 and not t.endswith(".")]
+    persons = [(i, t) for i, t in full if t not in LEGAL]
+    place = {}
+    if hint != "o" and len(text.split()) > 1:
+        for n, (i, t) in enumerate(persons):
+            if shout:
+                last = t == shout
+            elif int(head):
+                last = i < int(head)
+            else:
+                last = None if 0 < n < len(persons) - 1 else n == len(persons) - 1
+            place[t] = last
+    told = [(t, int(hint == "o"), int(hint == "p"), int(place.get(t) is False), int(place.get(t) is True)) for t in {t for _, t in full}]
+    return told + [(full[0][1][:-1], 0, 0, 0, 0)] * (login == "1")
+
+
 def read_forms(names: DataFrame) -> DataFrame:
-    """``(key, form)``, distinct, of every name that names somebody."""
+    """``(key, form)``, distinct, of every name that names somebody.
+
+    Names are read twice: first for their tokens, then, with what all rows tell of each token, for the roles of these.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = NameReader.shared()
         for pdf in batches:
-            form = [reader.read(n, h) for n, h in zip(pdf["name"], pdf["hint"], strict=True)]
-            yield pd.DataFrame({"key": pdf["key"], "form": form}).dropna()
+            reading = [reader.reading(n, h) for n, h in zip(pdf["name"], pdf["hint"], strict=True)]
+            yield pd.DataFrame({"key": pdf["key"], "reading": reading}).dropna()
 
-    return names.select("key", "name", "hint").where("name IS NOT NULL").mapInPandas(run, "key string, form string").distinct()
+    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(r, *t) for r in pdf["reading"] for t in tell(r)], columns=["reading", "token", "o", "p", "g", "s"])
+
+    @F.udf("string")
+    def form(reading: str, evidence: list) -> str | None:
+        return NameReader.shared().form(reading, {e["token"]: (e["o"], e["p"], e["g"], e["s"]) for e in evidence or ()})
+
+    read = cut(names.select("key", "name", "hint").where("name IS NOT NULL").mapInPandas(run, "key string, reading string").distinct())
+    once = read.select("reading").distinct()
+    told = cut(once.mapInPandas(tokens, "reading string, token string, o long, p long, g long, s long"))
+    evidence = told.groupBy("token").agg(*(F.sum(c).alias(c) for c in "opgs"))
+    known = told.select("reading", "token").join(evidence, "token").groupBy("reading").agg(F.collect_list(F.struct("token", "o", "p", "g", "s")).alias("evidence"))
+    forms = cut(once.join(known, "reading", "left").select("reading", form("reading", "evidence").alias("form")))
+    return read.join(forms.where("form IS NOT NULL"), "reading").select("key", "form").distinct()
 
 
 def near_cores(cores: DataFrame) -> DataFrame:
