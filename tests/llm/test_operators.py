@@ -237,6 +237,11 @@ def test_names_outside_the_tables_link(spark):
     assert rows(entities.entity_pairs(spark.createDataFrame(data, "key string, name string, hint string"))) == {("a", "b"), ("a", "c"), ("b", "c"), ("d", "e"), ("g", "h")}
 
 
+def test_short_names_link(spark):
+    data = [("a", "Wei Li", "person"), ("b", "Li, Wei", "person"), ("c", "Ana Kim", "person"), ("d", "Ana Kim", "person"), ("e", "ABB Robotics", "organisation"), ("f", "ABB Robotics Ltd", "organisation"), ("g", "KUK Robotics", "organisation"), ("h", "Wei Lu", "person")]
+    assert rows(entities.entity_pairs(spark.createDataFrame(data, "key string, name string, hint string"))) == {("a", "b"), ("c", "d"), ("e", "f")}
+
+
 def test_node_names(spark):
     data = [("p:1", "person", '{"name": "A B"}'), ("p:2", "person", '{"name": " ", "aliases": ["C D", "E F"]}'), ("p:3", "person", '{"aliases": "G H"}'), ("p:4", "person", "{broken"), ("p:5", "person", None), ("s:1", "system", '{"name": "X"}'), ("p:1", "person", '{"name": "A B"}')]
     got = rows(entities.node_names(spark.createDataFrame(data, "id string, type string, frontmatter string")))

@@ -14,7 +14,8 @@ form; forms are compared only where a token is near and another begins alike. La
 collected.
 
 Defined results
-    * names of nobody in particular, null, empty and unreadable names are in no pair.
+    * names of nobody in particular, null and empty names and names without a word of two letters are in no pair; tokens
+      of fewer than four letters are compared as equal or not.
     * a record may have several names (file versions, aliases); each counts, and rows delivered twice count once.
     * a name that fits two different groups equally well joins neither.
 """
@@ -190,8 +191,6 @@ class NameReader:
 
         chosen = full[max(range(len(full)), key=surname)]
         core = chosen[1]
-        if len(core) < 4:
-            return None
         others = [t for before, t in sorted(kept, key=lambda x: x[0]) if t]
         others.remove(core)
         known = {t for _, t in full if t in self.formal or (lambda e: e[2] >= 3 and e[2] > e[3])(evidence.get(t, NOTHING))}
