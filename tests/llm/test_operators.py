@@ -242,6 +242,13 @@ def test_short_names_link(spark):
     assert rows(entities.entity_pairs(spark.createDataFrame(data, "key string, name string, hint string"))) == {("a", "b"), ("c", "d"), ("e", "f")}
 
 
+def test_open_names_without_a_full_one_link(spark):
+    pairs = [("J. Hendersen", "J. Henderson", "person"), ("Heimtrijack Group", "Heimtrjack Group", "organisation"), ("Glulpegrust Ltd", "Glulpegrst Ltd", "organisation"), ("Swanbridge", "K. Swanbridge", "person")]
+    data = [(f"{i}{side}", n, hint) for i, (*both, hint) in enumerate(pairs) for side, n in zip("ab", both, strict=True)]
+    data += [("x", "Okonkwell", "person"), ("y", "A. Okonkwell", "person"), ("z", "B. Okonkwell", "person")]
+    assert rows(entities.entity_pairs(spark.createDataFrame(data, "key string, name string, hint string"))) == {(f"{i}a", f"{i}b") for i in range(4)}
+
+
 def test_node_names(spark):
     data = [("p:1", "person", '{"name": "A B"}'), ("p:2", "person", '{"name": " ", "aliases": ["C D", "E F"]}'), ("p:3", "person", '{"aliases": "G H"}'), ("p:4", "person", "{broken"), ("p:5", "person", None), ("s:1", "system", '{"name": "X"}'), ("p:1", "person", '{"name": "A B"}')]
     got = rows(entities.node_names(spark.createDataFrame(data, "id string, type string, frontmatter string")))

@@ -293,7 +293,7 @@ class NameReader:
         core_edits = max(used[0][1], used[pairs.index(0)][1] if 0 in pairs else 0)
         if core_edits > 1 and sum(e for _, e, _ in used) > core_edits:
             return 0
-        less_x, less_y = bool(left) or any(side < 0 for _, _, side in used), any(side > 0 for _, _, side in used)
+        less_x, less_y = bool(left) or len(x) == 1 < len(y) or any(side < 0 for _, _, side in used), any(side > 0 for _, _, side in used)
         if turned:
             less_x, less_y = less_y, less_x
         return 10 * core_edits + 1 + less_x + 2 * less_y
@@ -473,9 +473,9 @@ def link_forms(forms: DataFrame) -> DataFrame:
     nearest = cut(nearest.groupBy("x").agg(F.min_by(F.struct("label", "n"), "edits").alias("f")).select("x", "f.label", "f.n"))
     joined = nearest.where("n = 1").select(F.col("x").alias("form"), "label")
 
-    # open names that fit no group: together by core and initial
-    alone = rows.where("open").join(nearest, F.col("form") == F.col("x"), "left_anti")
-    mates = alone.select("form", F.concat_ws("|", "kind", "core", F.when(F.col("kind") == "p", F.substring("others", 1, 1)).otherwise("*")).alias("label"))
+    # open names that fit no group: among themselves in the same way
+    alone = some.join(nearest, F.col("form") == F.col("x"), "left_anti")
+    mates = grouped(alone, near, bare=True)
     return groups.unionByName(joined).unionByName(mates)
 
 
