@@ -249,6 +249,14 @@ def test_open_names_without_a_full_one_link(spark):
     assert rows(entities.entity_pairs(spark.createDataFrame(data, "key string, name string, hint string"))) == {(f"{i}a", f"{i}b") for i in range(4)}
 
 
+def test_shortened_lines_and_middle_initials():
+    reader = entities.NameReader()
+    read = lambda n, h: reader.read(n, h)
+    assert reader.open(read("Kestrelbank Constr. SA", "organisation"))
+    assert reader.agree(read("Kestrelbank Constr. SA", "organisation"), read("Kestrelbank Construction", "organisation")) == 2
+    assert reader.agree(read("F. Marrowfield", "person"), read("Charles F. Marrowfield", "person")) == 0
+
+
 def test_node_names(spark):
     data = [("p:1", "person", '{"name": "A B"}'), ("p:2", "person", '{"name": " ", "aliases": ["C D", "E F"]}'), ("p:3", "person", '{"aliases": "G H"}'), ("p:4", "person", "{broken"), ("p:5", "person", None), ("s:1", "system", '{"name": "X"}'), ("p:1", "person", '{"name": "A B"}')]
     got = rows(entities.node_names(spark.createDataFrame(data, "id string, type string, frontmatter string")))

@@ -156,7 +156,7 @@ class NameReader:
 
     def shortened(self, token: str) -> bool:
         """Whether a token is a line of business cut short."""
-        return token.endswith(".") or (3 <= len(token) <= 5 and token not in BUSINESS and self.given(token) is None and any(abbreviates(token, b) for b in BUSINESS))
+        return token.endswith(".") or (3 <= len(token) <= 5 and token not in BUSINESS and self.given(token) is None and any(abbreviates(token, b) for b in BUSINESS)) or (len(token) >= 3 and self.given(token) is None and any(b != token and b.startswith(token) for b in BUSINESS))
 
     def _organisation(self, tokens: list[str], hint: str, evidence: Evidence) -> str | None:
         skip = LEGAL | PARTNERS | LOOSE
@@ -262,7 +262,7 @@ class NameReader:
             return 1 - 0.1 * e, e, 0
         if kind == "o" and not cores:
             short, full = (s, t) if len(s) <= len(t) else (t, s)
-            if 3 <= len(short) <= 5 and short not in BUSINESS and abbreviates(short, full):
+            if short not in BUSINESS and (len(short) >= 3 and full.startswith(short) or 3 <= len(short) <= 5 and abbreviates(short, full)):
                 return 0.5, 0, -1 if short == s else 1
         return 0.0, 0, 0
 
@@ -285,6 +285,9 @@ class NameReader:
         pairs = assign([[e[0] for e in row] for row in edges])
         if any(not edges[i][j][0] for i, j in enumerate(pairs)):
             return 0
+        # the initial of a given name stands for no middle name
+        if kind == "p" and len(x) > 1 and ((len(x[1]) == 1 and pairs[1] != 1) or (len(y[1]) == 1 and 1 in pairs and pairs[1] != 1)):
+            return 0
         used = [edges[i][j] for i, j in enumerate(pairs)]
         left = [t for j, t in enumerate(y) if j not in pairs and len(t) > 1]
         whole = sum(not side and len(x[i]) > 1 for i, (_, _, side) in enumerate(used))
@@ -442,12 +445,13 @@ def agreement(x: str, y: str) -> Column:
 
 def grouped(forms: DataFrame, near: DataFrame, bare: bool = False) -> DataFrame:
     """``(form, label)``: forms that align as the same name, closed over; a group that says less joins the one that it fits."""
-    pairs = candidates(forms, forms, near, bare, bare).where("x < y").withColumn("how", agreement("x", "y") % 10)
-    pairs = cut(pairs.where("how BETWEEN 1 AND 3"))
+    pairs = candidates(forms, forms, near, bare, bare).where("x < y").withColumn("how", agreement("x", "y"))
+    pairs = cut(pairs.select("x", "y", (F.col("how") % 10).alias("how"), F.floor(F.col("how") / 10).alias("edits")).where("how BETWEEN 1 AND 3"))
     groups = cut(components(forms.select("form"), pairs.where("how = 1").select(F.col("x").alias("a"), F.col("y").alias("b"))))
-    less = pairs.where("how = 2").select("x", "y").unionByName(pairs.where("how = 3").select(F.col("y").alias("x"), F.col("x").alias("y")))
+    less = pairs.where("how = 2").select("x", "y", "edits").unionByName(pairs.where("how = 3").select(F.col("y").alias("x"), F.col("x").alias("y"), "edits"))
     of = lambda c, name: groups.select(F.col("form").alias(c), F.col("label").alias(name))
-    fits = less.join(of("x", "a"), "x").join(of("y", "b"), "y").where("a <> b").groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("far"))
+    fits = less.join(of("x", "a"), "x").join(of("y", "b"), "y").where("a <> b").groupBy("a", "edits").agg(F.min("b").alias("b"), F.max("b").alias("far"))
+    fits = fits.groupBy("a").agg(F.min_by(F.struct("b", "far"), "edits").alias("f")).select("a", "f.b", "f.far")
     wider = components(groups.select(F.col("label").alias("form")).distinct(), fits.where("b = far").select("a", "b"))
     return groups.withColumnRenamed("label", "old").join(wider.withColumnRenamed("form", "old"), "old").select("form", "label")
 
