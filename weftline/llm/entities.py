@@ -193,7 +193,7 @@ class NameReader:
         core = chosen[1]
         others = [t for before, t in sorted(kept, key=lambda x: x[0]) if t]
         others.remove(core)
-        known = {t for _, t in full if t in self.formal or (lambda e: e[2] >= 3 and e[2] > e[3])(evidence.get(t, NOTHING))}
+        known = {t for _, t in full if t in self.formal or (len(t) >= 4 and (lambda e: e[2] >= 3 and e[2] > e[3])(evidence.get(t, NOTHING)))}
         return f"p|{core}|{' '.join(others)}|{' '.join(sorted(known))}"
 
     @staticmethod
