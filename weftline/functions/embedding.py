@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.config import Config
+from weftline.config import MARKER, Config
 from weftline.errors import ConfigError, WeftlineError
 
 
@@ -131,10 +131,10 @@ def parse_env(text: str) -> dict[str, str]:
 
 
 def secret(name: str, root: str | Path) -> str | None:
-    """A secret from the environment if set there and not empty, else from the corpus' ``.env`` file."""
+    """A secret from the environment if set there and not empty, else from ``.env`` in the marker folder, which is ignored by git."""
     if os.environ.get(name):
         return os.environ[name]
-    env = Path(root) / ".env"
+    env = Path(root) / MARKER / ".env"
     return (parse_env(env.read_text(encoding="utf-8")).get(name) or None) if env.exists() else None
 
 

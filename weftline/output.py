@@ -40,11 +40,20 @@ def aligned(pairs: list[tuple[str, str]], paint: Painter) -> list[str]:
     return [f"  {paint((k + ':').ljust(width), 'dim')} {v}" for k, v in pairs]
 
 
+#: What is said where a command found nothing.
+EMPTY = {
+    "backlinks": "backlinks to {id}", "refs": "refs from {id} within {depth}", "search": "match for \"{query}\"",
+    "suggest": "suggestion for \"{descriptor}\"", "unresolved": "loose ends",
+}
+
+
 def human(command: str, value: dict, paint: Painter | None = None) -> str:
     """The text a person reads for the result of ``command``."""
     p = paint or Painter()
     where = lambda r: p(f"{r['path']}:{r['line']}" if r.get("line") is not None else str(r.get("path", "")), "dim")
     out: list[str] = []
+    if command in EMPTY and not value["count"]:
+        return p("no " + EMPTY[command].format(**value), "dim") + "\n"
     if command == "render":
         return value["markdown"]
     if command == "resolve":

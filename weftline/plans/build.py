@@ -49,12 +49,9 @@ def merge(old: DataFrame, fresh: DataFrame, changed: DataFrame, file: str) -> Da
 
 def write_snapshot(writer: index.Writer, tables: dict[str, DataFrame], cache: DataFrame | None, embedder: Embedder) -> None:
     """Write the per-file tables and what follows from them: first versions, files by id, tokens, vectors."""
-    kept = {name: writer.write(name, df) for name, df in tables.items()}
+    kept = writer.write_all(tables)
     versions, sections = kept["node_versions"], kept["sections"]
-    writer.write("nodes", parse.first_nodes(versions))
-    writer.write("node_files", versions.select("id", "path"))
-    writer.write("edges_out", kept["edges"])
-    writer.write("section_tokens", section_tokens(sections))
+    writer.write_all({"nodes": parse.first_nodes(versions), "node_files": versions.select("id", "path"), "edges_out": kept["edges"], "section_tokens": section_tokens(sections)})
     fresh = embed_missing(sections, cache, embedder)
     vectors = writer.write("embed_cache", fresh if cache is None else cache.unionByName(fresh))
     keyed = sections.select("node_id", F.col("line").alias("section_line"), content_hash().alias("content_hash"))
@@ -123,9 +120,7 @@ def reembed(spark: SparkSession, root: str | Path, embedder: Embedder) -> IndexS
     began = time.monotonic()
     old = index.open_store(spark, root)
     with index.Writer(root) as writer:
-        for name in index.TABLES:
-            if name not in ("embeddings", "embed_cache"):
-                writer.write(name, old.table(name))
+        writer.write_all({name: old.table(name) for name in index.TABLES if name not in ("embeddings", "embed_cache")})
         keyed = old.sections.select("node_id", F.col("line").alias("section_line"), content_hash().alias("content_hash"))
         vectors = writer.write("embed_cache", embed_texts(old.sections.select(content_hash().alias("content_hash"), "body"), embedder))
         writer.write("embeddings", keyed.join(vectors, "content_hash").select("node_id", "section_line", "content_hash", "vector"))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.errors import WeftlineError
+
 #: A driver-side or broadcast copy may hold at most this many rows unless the caller proves a tighter bound.
 BROADCAST_ROWS = 200_000
 
@@ -19,11 +22,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session; a local one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = os.path.join(tempfile.gettempdir(), "weftline-checkpoints")
-    return folder
+    """The folder all executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    A folder of this machine stands in only where the executors are this process; on a cluster, an unset folder is an error.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise WeftlineError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or os.path.join(tempfile.gettempdir(), "weftline-checkpoints")
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -38,10 +45,15 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def written(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: a columnar lineage cut that prunes columns on each read."""
+    """Write ``df`` once to the shared folder and read it back: a columnar lineage cut that prunes columns on each read.
+
+    The files go when the driver's JVM ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 

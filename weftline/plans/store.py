@@ -9,6 +9,7 @@ import json
 import os
 import shutil
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -85,11 +86,17 @@ class Writer:
         self.folder.mkdir(parents=True)
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        """Write a table sorted within its files, and give it back as read from there."""
+        """Write a table in sorted ranges, one a file, and give it back as read from there."""
         path = str(self.folder / name)
-        df.sortWithinPartitions(*TABLES[name]).write.parquet(path)
+        # by ranges of the sort columns: a point read opens the one file whose range holds its key
+        df.repartitionByRange(*TABLES[name]).sortWithinPartitions(*TABLES[name]).write.parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
+    def write_all(self, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """Write independent tables side by side."""
+        with ThreadPoolExecutor(4) as pool:
+            return dict(zip(tables, pool.map(lambda t: self.write(*t), tables.items()), strict=True))
+
     def commit(self, meta: dict) -> None:
         old = (self.base / "CURRENT").read_text(encoding="utf-8").strip() if (self.base / "CURRENT").exists() else None
         (self.folder / "meta.json").write_text(json.dumps(meta), encoding="utf-8")
@@ -97,7 +104,13 @@ class Writer:
         pointer.write_text(self.folder.name, encoding="utf-8")
         os.replace(pointer, self.base / "CURRENT")
         if old and old != self.folder.name:
-            shutil.rmtree(self.base / old, ignore_errors=True)
+            self.retire(old)
+
+    def retire(self, last: str) -> None:
+        """Drop snapshots but the current, the one before and what is still being written, so that open readers can end."""
+        for folder in self.base.glob("snapshot-*"):
+            if folder.name not in (self.folder.name, last) and (folder / "meta.json").exists():
+                shutil.rmtree(folder, ignore_errors=True)
 
     def __enter__(self) -> Writer:
         return self

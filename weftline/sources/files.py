@@ -1,18 +1,18 @@
 """Where a corpus is read from: the working tree, or the tree and history of a git repository.
 
-The working tree is read by Spark itself (whole files, recursively). Committed files are listed once on the driver and
-read on the executors, one archive stream a partition.
+Files are listed once on the driver - names only, hidden ones too, which Spark's own file index would leave out - and read
+on the executors: working files by their paths, committed ones from one archive stream a partition.
 """
 
 from __future__ import annotations
 
 import io
+import os
 import re
 import subprocess
 import tarfile
 from collections.abc import Iterator
 from pathlib import Path
-from urllib.parse import unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -80,14 +80,30 @@ def relative_to(root: str | Path):
     return F.regexp_replace(F.regexp_replace(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")), "^file:/*", "/"), "^" + base, "")
 
 
-def working_tree(spark: SparkSession, root: str | Path, config: Config) -> DataFrame:
-    """``(path, content)`` of the corpus files on disk; derived and version-control folders are never read."""
-    folder = Path(root).resolve()
-    if not any(folder.rglob("*.md")):
+def files_on_disk(root: str | Path, config: Config) -> list[str]:
+    """Root-relative paths of the corpus files on disk; derived and version-control folders are never entered."""
+    base, found = str(Path(root).resolve()), []
+    for folder, below, names in os.walk(base):
+        below[:] = [d for d in below if d not in (".git", MARKER)]
+        inside = os.path.relpath(folder, base).replace(os.sep, "/")
+        found += [n if inside == "." else f"{inside}/{n}" for n in names]
+    include, exclude = (re.compile(p, re.S) for p in scope_patterns(config))
+    return sorted(p for p in found if include.match(p) and not exclude.match(p))
+
+
+def working_tree(spark: SparkSession, root: str | Path, config: Config, per_task: int = 500) -> DataFrame:
+    """``(path, content)`` of the corpus files on disk, decoded leniently; the folder must be visible to all executors."""
+    paths, base = files_on_disk(root, config), str(Path(root).resolve())
+    if not paths:
         return spark.createDataFrame([], DOCUMENT)
-    options = {"wholetext": "true", "recursiveFileLookup": "true", "pathGlobFilter": "*"}
-    rows = spark.read.format("text").options(**options).load(str(folder)).select(relative_to(folder).alias("path"), F.col("value").alias("content"))
-    return filter_paths(rows.where(~F.col("path").rlike(rf"(?:^|/)(?:\.git|{re.escape(MARKER)})(?:/|$)")), config)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for p in pdf["path"]:
+                yield pd.DataFrame({"path": [p], "content": [Path(base, p).read_bytes().decode("utf-8", "replace")]})
+
+    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths) // per_task + 1))
+    return listed.mapInPandas(run, DOCUMENT)
 
 
 def _git(root: str | Path, *args: str, check: bool = True) -> str | None:
@@ -153,6 +169,3 @@ def committed(spark: SparkSession, root: str | Path, paths: list[str], at: str =
     listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths) // per_task + 1))
     return listed.mapInPandas(run, DOCUMENT)
 
-
-def local_path(uri: str) -> str:
-    return unquote(urlparse(uri).path)
