@@ -36,12 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder.
 
-    A checkpoint survives the loss of any executor; ``localCheckpoint`` would not, so it is never used.
+    A checkpoint survives the loss of any executor; ``localCheckpoint`` would not, so it is never used. The frame returned
+    knows nothing of the plan before: the constraints a checkpoint carries on would double in every round of a loop.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=eager)
+    kept = df.checkpoint(eager=eager)
+    bare = kept.sparkSession._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False)
+    return DataFrame(bare, kept.sparkSession)
 
 
 def written(df: DataFrame, label: str = "stage") -> DataFrame:
