@@ -70,6 +70,18 @@ def test_redirects(spark):
     assert graph.resolve_all(nodes.where("false"), asked.where("false")).collect() == []
 
 
+def test_long_chains(spark):
+    """Chains of 1,200 end in logarithmic rounds, with tails into a cycle and a chain that ends nowhere."""
+    n = 1200
+    links = {f"a:{i}": f"a:{i + 1}" for i in range(n)} | {f"a:{n}": None}
+    links |= {f"b:{i}": f"b:{i + 1}" for i in range(n)} | {f"b:{n}": f"b:{n - 3}"}  # a tail into a cycle of four
+    links |= {f"c:{i}": f"c:{i + 1}" for i in range(n)}
+    nodes = nodes_of(spark, links)
+    got = {r["requested"]: (r["resolved"], r["missing"]) for r in graph.resolve_all(nodes, nodes.select("id")).collect()}
+    want = {f"a:{i}": (f"a:{n}", None) for i in range(n + 1)} | {f"b:{i}": (f"b:{max(i, n - 3)}", None) for i in range(n + 1)} | {f"c:{i}": (None, f"c:{n}") for i in range(n)}
+    assert got == want
+
+
 def test_traversal(spark):
     nodes = nodes_of(spark, dict.fromkeys(["a:1", "a:2", "a:3", "a:4"]))
     edges = spark.createDataFrame([("a:1", "a:2", "x", 5, 0), ("a:1", "a:2", "first", 2, 1), ("a:1", "a:9", "x", 1, 2), ("a:9", "a:4", "x", 1, 0), ("a:2", "a:1", "x", 1, 0), ("a:2", "a:3", "x", 1, 1), ("a:1", "a:1", "x", 1, 3)], "from_id string, to_id string, ref_type string, line int, seq int")
@@ -96,6 +108,17 @@ def test_orphans(spark):
     assert {r["kind"] for r in none.collect()} == {"missing"}
 
 
+def test_hot_references_and_deep_cascades(spark):
+    nodes = spark.sql("SELECT concat('n:', id) AS id, timestamp_ntz'2024-01-01' AS indexed_at, CAST(NULL AS timestamp_ntz) AS deleted_at FROM range(1300)")
+    links = spark.createDataFrame([("n:0", "gone"), *((f"n:{i}", f"n:{i - 1}") for i in range(1, 1200)), ("n:0", "n:1199")], "child string, parent string")
+    rows = [(i, "n:70" if i % 3 else f"n:{i % 80}") for i in range(900)] + [(1000 + i, "gone") for i in range(300)]
+    table = spark.createDataFrame(rows, "row bigint, ref string").withColumn("indexed_at", F.expr("timestamp_ntz'2024-03-05 10:00:00'"))
+    found = [sorted(tuple(r) for r in orphans.find_orphans([orphans.references(table, "t", "row", "ref")], nodes, links, hot_rows=h, salt=4).collect()) for h in (10**9, 200)]
+    depth = {f"n:{i}": i + 1 for i in range(1200)}
+    want = sorted([("t", i, "2024-03", "inherited", "inherited", depth[r]) for i, r in rows if r in depth] + [("t", i, "2024-03", "missing", "direct", 0) for i, r in rows if r == "gone"])
+    assert found == [want, want]
+
+
 def test_parse_file():
     loader = parse.yaml_loader()
     got = parse.parse_file("a/jane.md", "---\r\nid: d7\r\ntype: t\r\nwhen: 2026-06-10\r\nat: 12:30\r\nok: yes\r\nsee: [a:b, 7]\r\n'quoted': c:d\r\n---\r\n# T\r\n[[x:y]] [[z\r\n~~~\r\n[[no:no]]\r\n~~~\r\n## S \r\nbody\r\n", loader)

@@ -29,15 +29,19 @@ def folded(c: Column | str) -> Column:
     return F.lower(F.regexp_replace(_fold(_col(c)), r"\p{M}+", ""))
 
 
-def _fold(c: Column) -> Column:
-    """Accented Latin letters without their accents (a translate table derived by rule)."""
+def fold_table() -> tuple[str, str]:
+    """Accented Latin letters and what is left of them without accents, derived by rule."""
     source, target = [], []
     for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
         base = unicodedata.normalize("NFD", chr(code))
         if len(base) > 1:
             source.append(chr(code))
             target.append(base[0])
-    return F.translate(c, "".join(source), "".join(target))
+    return "".join(source), "".join(target)
+
+
+def _fold(c: Column) -> Column:
+    return F.translate(c, *fold_table())
 
 
 def fold_token(token: str) -> str:

@@ -6,10 +6,10 @@ many questions cost one pass a level. Levels are cut with a reliable checkpoint,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.plans.runtime import broadcast_if_small, cut
+from weftline.plans.runtime import broadcast_if_small, cut, written
 
 
 def backlinks(nodes: DataFrame, edges: DataFrame, id: str, type: str | None = None, limit: int | None = None) -> DataFrame:
@@ -36,6 +36,8 @@ def traverse(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int =
 
     Breadth first; the first discovery counts (parents in their own order, then line, target, sequence) and gives the
     reference. Targets that are no node are remembered but neither returned nor followed; a start is never returned.
+    One checkpoint a level but the last; a level is ranked by a distributed sort, so that one start with a large level
+    needs no task of its own.
     """
     order = F.col("seq") if "seq" in edges.columns else F.lit(0)
     steps = edges.select("from_id", "to_id", "ref_type", "line", order.alias("seq"))
@@ -46,20 +48,24 @@ def traverse(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int =
     found = None
     for distance in range(1, depth + 1):
         reached = broadcast_if_small(frontier, 50_000).join(steps, "from_id")
-        fresh = reached.join(seen, ["start", "to_id"], "left_anti")
-        fresh = fresh.groupBy("start", "to_id").agg(F.min(F.struct(F.col("rank"), F.col("line"), F.col("to_id"), F.col("seq"), F.col("ref_type"))).alias("b"))
-        fresh = cut(fresh.select("start", "to_id", "b.rank", "b.line", "b.seq", "b.ref_type"))
-        level = fresh.join(known, fresh["to_id"] == known["id"])
-        position = F.row_number().over(Window.partitionBy("start").orderBy("rank", "line", "to_id", "seq"))
-        level = cut(level.select("start", "id", "type", "path", "ref_type", "line", F.lit(distance).alias("distance"), position.cast("long").alias("rank")))
-        found = level if found is None else found.unionByName(level)
-        if distance == depth or level.isEmpty():
+        first = F.min(F.struct("rank", "line", F.col("to_id").alias("to"), "seq", "ref_type")).alias("b")
+        fresh = reached.groupBy("start", "to_id").agg(first).join(seen, ["start", "to_id"], "left_anti")
+        fresh = fresh.join(known, fresh["to_id"] == known["id"], "left")
+        fresh = fresh.select("start", "to_id", "id", "type", "path", "b.ref_type", "b.line", F.lit(distance).alias("distance"), "b.rank", "b.seq")
+        last = distance == depth
+        if not last:
+            ordered = fresh.orderBy("start", "rank", "line", "to_id", "seq")
+            fresh = cut(ordered.withColumn("rank", F.monotonically_increasing_id()))
+        level = fresh.where("id IS NOT NULL")
+        shown = level.select("start", "id", "type", "path", "ref_type", "line", "distance")
+        found = shown if found is None else found.unionByName(shown)
+        if last or level.isEmpty():
             break
-        seen = cut(seen.unionByName(fresh.select("start", "to_id")))
+        seen = seen.unionByName(fresh.select("start", "to_id"))
         frontier = level.select("start", F.col("id").alias("from_id"), "rank")
     if found is None:
-        found = starts.join(known, starts["start"] == known["id"]).where("false").select("start", "id", "type", "path", F.lit("").alias("ref_type"), F.lit(0).alias("line"), F.lit(0).alias("distance"), F.lit(0).cast("long").alias("rank"))
-    return found.drop("rank")
+        found = starts.join(known, starts["start"] == known["id"]).where("false").select("start", "id", "type", "path", F.lit("").alias("ref_type"), F.lit(0).alias("line"), F.lit(0).alias("distance"))
+    return found
 
 
 def refs(nodes: DataFrame, edges: DataFrame, id: str, depth: int = 1, type: str | None = None) -> DataFrame:
@@ -74,27 +80,48 @@ def redirect(col: Column | str = "superseded_by") -> Column:
     return F.when(c != "", c)
 
 
-def resolve_all(nodes: DataFrame, requested: DataFrame, max_hops: int = 1000) -> DataFrame:
+def _chase(hops: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Where every ``at`` of ``hops (at, next)`` ends: ``(at, end)`` of the chains that leave ``hops``, and ``(at, far)`` of
+    those that never do, ``far`` a member of their cycle (None where there are none).
+
+    Pointer doubling: after ``n`` rounds a pointer spans ``2 ** n`` hops. While some chain still ends, every round ends one,
+    so a round that ends none leaves cycles only; these go on until a pointer spans more hops than there are members.
+    """
+    jump, before, span = written(hops.select("at", "next"), "hops"), -1, 1
+    while True:
+        far = broadcast_if_small(jump.select(F.col("at").alias("next"), F.col("next").alias("far")))
+        jump = written(jump.select("at", "next").join(far, "next", "left").select("at", F.coalesce("far", "next").alias("next"), F.col("far").isNotNull().alias("on")), "hops")
+        still, span = jump.where("on").count(), 2 * span
+        if not still:
+            return jump.select("at", F.col("next").alias("end")), None
+        if still == before and span > still:
+            return jump.where("NOT on").select("at", F.col("next").alias("end")), jump.where("on").select("at", F.col("next").alias("far"))
+        before = still
+
+
+def chain_ends(hops: DataFrame) -> DataFrame:
+    """``(at, end)``: where each chain of ``hops (at, next)`` ends; a chain that runs into a cycle ends where it enters it."""
+    ends, round_ = _chase(hops)
+    if round_ is None:
+        return ends
+    members = written(round_.select(F.col("far").alias("at")).distinct())
+    into = round_.select("at").join(members, "at", "left_anti").join(hops, "at")
+    return ends.unionByName(members.select("at", F.col("at").alias("end"))).unionByName(_chase(into)[0])
+
+
+def resolve_all(nodes: DataFrame, requested: DataFrame) -> DataFrame:
     """Follow redirects of every requested id: ``requested resolved missing``.
 
     ``resolved`` is the node where the chain ends - on a cycle, the node where it repeats; ``missing`` the first id of the
-    chain that is no node (``resolved`` is null then). One join a hop with the redirecting nodes; chains that ended wait.
+    chain that is no node (``resolved`` is null then). Chains run over the redirecting nodes alone, in as many rounds as the
+    logarithm of the longest; whether an end exists is one join with all nodes.
     """
-    hop = nodes.select(F.col("id").alias("at"), redirect().alias("next"))
-    active = requested.select(F.col("id").alias("requested")).where("requested IS NOT NULL").distinct()
-    active = active.select("requested", F.col("requested").alias("at"), F.array().cast("array<string>").alias("path"))
-    done, hops = None, 0
-    while hops < max_hops:
-        step = active.join(hop.withColumn("there", F.lit(True)), "at", "left")
-        state = F.when(F.col("there").isNull(), "missing").when(F.col("next").isNull() | F.array_contains("path", F.col("at")), "end").otherwise("on")
-        step = cut(step.withColumn("state", state))
-        ended = step.where("state <> 'on'").select("requested", F.when(F.col("state") == "end", F.col("at")).alias("resolved"), F.when(F.col("state") == "missing", F.col("at")).alias("missing"))
-        done = ended if done is None else done.unionByName(ended)
-        active = step.where("state = 'on'").select("requested", F.col("next").alias("at"), F.concat("path", F.array("at")).alias("path"))
-        hops += 1
-        if active.isEmpty():
-            break
-    return done
+    hops = nodes.select(F.col("id").alias("at"), redirect().alias("next")).where("next IS NOT NULL")
+    asked = requested.select(F.col("id").alias("at")).where("at IS NOT NULL").distinct()
+    ends = asked.join(broadcast_if_small(chain_ends(hops)), "at", "left").select(F.col("at").alias("requested"), F.coalesce("end", "at").alias("end"))
+    there = nodes.select(F.col("id").alias("end"), F.lit(True).alias("there"))
+    rows = ends.join(there, "end", "left")
+    return rows.select("requested", F.when(F.col("there"), F.col("end")).alias("resolved"), F.when(F.col("there").isNull(), F.col("end")).alias("missing"))
 
 
 def resolve(nodes: DataFrame, id: str) -> DataFrame:

@@ -11,7 +11,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +37,7 @@ def yaml_loader():
     """A YAML loader with the core schema: dates, times and ``yes`` stay strings."""
     import yaml
 
-    class Core(yaml.SafeLoader):
+    class Core(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
         yaml_implicit_resolvers: dict = {}
 
     tag = "tag:yaml.org,2002:"
@@ -234,6 +234,7 @@ NODE = ("id", "type", "path", "frontmatter", "name", "aliases", "superseded_by")
 
 
 def first_nodes(versions: DataFrame) -> DataFrame:
-    """One row an id: the version whose file comes first."""
-    first = Window.partitionBy("id").orderBy("path")
-    return versions.withColumn("n", F.row_number().over(first)).where("n = 1").select(*NODE)
+    """One row an id: the version whose file comes first, combined before the shuffle."""
+    rest = [c for c in NODE if c not in ("id", "path", "frontmatter", "name")]
+    first = F.min(F.struct("path", "frontmatter", "name", *rest)).alias("v")
+    return versions.groupBy("id").agg(first).select(*(F.col(c) if c == "id" else F.col(f"v.{c}") for c in NODE))
