@@ -49,15 +49,18 @@ def safe_cut(text: str, at: int) -> int:
     return at
 
 
-def units(text: str, start: int, end: int, room: int, level: int = 0) -> Iterator[tuple[int, int]]:
-    """Spans of at most ``room`` characters covering ``start..end`` in order, cut at the strongest boundaries possible."""
+def units(text: str, start: int, end: int, room: int, hard: int, level: int = 0) -> Iterator[tuple[int, int]]:
+    """Spans of at most ``room`` characters covering ``start..end`` in order, cut at the strongest boundaries possible.
+
+    Where there is none, spans of ``hard`` characters leave room for an overlap.
+    """
     if end - start <= room:
         yield start, end
         return
     if level == len(SEPARATORS):
-        while end - start > room:
-            cut = safe_cut(text, start + room)
-            cut = cut if cut > start else start + room
+        while end - start > hard:
+            cut = safe_cut(text, start + hard)
+            cut = cut if cut > start else start + hard
             yield start, cut
             start = cut
         if end > start:
@@ -66,9 +69,9 @@ def units(text: str, start: int, end: int, room: int, level: int = 0) -> Iterato
     at = start
     for m in SEPARATORS[level].finditer(text, start, end):
         if m.end() > at and m.end() < end:
-            yield from units(text, at, m.end(), room, level + 1)
+            yield from units(text, at, m.end(), room, hard, level + 1)
             at = m.end()
-    yield from units(text, at, end, room, level + 1)
+    yield from units(text, at, end, room, hard, level + 1)
 
 
 def word_starts(text: str) -> list[int]:
@@ -84,13 +87,14 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
         return [(0, 0, n)]
     starts, out = word_starts(text), []
     begin, lead, stop = 0, 0, 0
-    for a, b in units(text, 0, n, limit - overlap):
+    for a, b in units(text, 0, n, limit, limit - overlap):
         if b - begin + lead > limit:
             out.append((lead, begin, stop))
-            begin, floor = a, max(a - overlap, begin)
+            # a unit that all but fills a piece leaves less room for the tail before it
+            begin, floor = a, max(a - min(overlap, limit - (b - a)), begin)
             k = bisect.bisect_left(starts, floor)
-            first = starts[k] if k < len(starts) and starts[k] < a else floor if floor == 0 or not text[floor - 1].isspace() else floor
-            lead = a - first if overlap else 0
+            first = starts[k] if k < len(starts) and starts[k] < a else floor
+            lead = a - first
         stop = b
     out.append((lead, begin, stop))
     return out
