@@ -146,14 +146,21 @@ def test_guess_breaks_ties(spark):
     assert rows(canonical.map_to_canonical(df, entries)) == {(1, "b:x"), (2, "unmatched")}
 
 
-def test_blocks_of_entries_agree(spark, monkeypatch):
+def test_long_entries_and_words(spark):
+    long = "International Bureau of Weights Measures Standards Calibration Metrology and Comparison"
+    word = "".join(random.Random(9).choice("abcdefghij") for _ in range(120))
+    entries = spark.createDataFrame([*ENTRIES, ("site:long", "site", long), ("brand:word", "brand", f"Brand {word}")], "id string, type string, name string")
+    typed = {long.replace("Weights", "Weihgts").replace("Metrology", "Metrolgy"): "site:long", f"Brand {word[:60]}{word[61:]}": "brand:word", f"Brand {word[:40]}xy{word[42:90]}z{word[91:]}": "unmatched", "x" * 30000: "unmatched"}
+    df = spark.createDataFrame([(i, None, v) for i, v in enumerate(typed)], "loose_id bigint, type_guess string, descriptor string")
+    assert dict(rows(canonical.map_to_canonical(df, entries))) == dict(enumerate(typed.values()))
+
+
+def test_answers_do_not_change_with_unrelated_entries(spark):
+    """A thousand further entries of other words raise all weights alike; only matches among themselves may be new."""
     df = spark.createDataFrame([(i, None, v) for i, v in enumerate(MEANT)], "loose_id bigint, type_guess string, descriptor string")
-    entries = spark.createDataFrame(ENTRIES, "id string, type string, name string")
-    whole = rows(canonical.map_to_canonical(df, entries))
-    monkeypatch.setattr(canonical, "BLOCK_ENTRIES", 4)
-    # a block cannot tell how rare its words are in the others, so only exact and joined forms must agree
-    parts = dict(rows(canonical.map_to_canonical(df, entries)))
-    assert sum(parts[k] == v for k, v in whole) >= len(whole) - 2
+    more = [(f"x:{i}", "x", f"Qu{i:04d}ovz Zz{i:04d}wqq") for i in range(1000)]
+    whole = [rows(canonical.map_to_canonical(df, spark.createDataFrame(e, "id string, type string, name string").repartition(p))) for e, p in ((ENTRIES, 1), (ENTRIES + more, 5))]
+    assert whole[0] == whole[1]
 
 
 @pytest.mark.parametrize("seed", range(20))
@@ -185,7 +192,19 @@ def test_distance_and_deletes(seed):
 
     assert spelling.distance(a, b, 9) == slow(a, b)
     if slow(a, b) <= 2:
-        assert spelling.deletes(a, 2) & spelling.deletes(b, 2)
+        assert spelling.near_keys(a, 2) & spelling.near_keys(b, 2)
+    assert all(spelling.distance(a, b, m) == min(slow(a, b), m + 1) for m in range(4))
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_long_words_share_a_key(seed):
+    r = random.Random(seed)
+    a = "".join(r.choice("abcd") for _ in range(r.randint(36, 90)))
+    b = a
+    for _ in range(2):
+        i = r.randrange(len(b) - 1)
+        b = r.choice([b[:i] + b[i + 1 :], b[:i] + "x" + b[i:], b[:i] + "y" + b[i + 1 :], b[:i] + b[i + 1] + b[i] + b[i + 2 :]])
+    assert spelling.distance(a, b, 2) <= 2 and spelling.near_keys(a, 2) & spelling.near_keys(b, 2)
 
 
 # --- 4: names -------------------------------------------------------------------------------------------------------------

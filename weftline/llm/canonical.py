@@ -1,178 +1,129 @@
 """Mapping freely typed values to a canonical list (problem 3).
 
-Token-level repair: each distinct token is joined to the list's vocabulary through a symmetric-delete index (edit
-distance) or read as an abbreviation; complete entries are then ranked by soft TF-IDF over the repaired tokens, aligned
-one to one. A value means an entry only if every token of the value is explained by it; tokens of the entry may be left
-out (``Central Bureau``) while that stays unambiguous. Joined words and initials are tried as well.
+Token-level repair: each distinct token is joined to the list's vocabulary - by symmetric-delete keys (edit distance), by a
+phonetic key, or as an abbreviation; complete entries are then ranked by soft TF-IDF over the repaired tokens, aligned by
+optimal assignment. A value means an entry only if every token of the value is explained by it; tokens of the entry may be
+left out (``Central Bureau``) while that stays unambiguous. Joined words and initials are tried as well.
 
-The canonical list is broadcast after a check of its size; larger lists are searched in blocks of ``BLOCK_ENTRIES``,
-each block giving its best options, which are compared in a small shuffle by value. The values are only scanned.
+Everything is a join on hashed keys: distinct values are read once, distinct tokens repaired once, and a value meets the
+entries of its rarest token only. Document frequencies are counted once over the whole list. Nothing of the list or the
+values is collected or broadcast by this module, so answers do not depend on the size of either.
 
 Defined results
     * every row of the input comes out once per key; null, empty and placeholder values are ``unmatched``.
     * equal scores: the entry of the row's guessed type wins; if that does not decide, the value is ``unmatched``.
-    * repeated rows of a key count once; an empty list leaves all values unmatched; long values are read whole.
+    * repeated rows of a key count once (the least of them); an empty list leaves all values unmatched; values and words of
+      any length are read whole. Entries without an id are no entries; one without a word is never found.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.spelling import abbreviates, allowed, deletes, distance, plain, sounded, uncamel
+from weftline.llm.spelling import abbreviates, allowed, assign, distance, near_keys, plain, sounded, uncamel
+from weftline.plans.runtime import parallel, written
 
 UNMATCHED = "unmatched"
-BLOCK_ENTRIES = 20_000
+#: Letters up to which a token may be a skeleton of a word (``mgr``); longer ones abbreviate by their beginning only.
+SKELETON = 12
+#: How far below the best a score counts as equal to it.
+MARGIN = 0.03
 # Words around a name that are no part of it (kept where the list itself uses them).
 BEFORE = {"the", "our", "old", "new", "probably", "maybe", "perhaps", "likely", "a", "an"}
 AFTER = (r"i think", r"see notes?", r"tbc", r"main one", r"team", r"v\d+", r"the", r"maybe", r"again")
 JOINING = {"for", "of", "and", "the", "in", "at"}
 _AFTER = re.compile(r"[\s,;(\[–—-]*\b(?:" + "|".join(AFTER) + r")\b[\s)\].?!]*$")
-_DOTTED = re.compile(r"^(?:[a-z]\.?\s?){2,5}$")
-
-
-class CanonicalList:
-    """The entries, their vocabulary with weights, and the indexes that find entries from typed tokens."""
-
-    def __init__(self, entries: list[tuple[str, str | None, str | None]]) -> None:
-        self.ids = [e[0] for e in entries]
-        self.types = [e[1] for e in entries]
-        self.tokens = [re.findall(r"[a-z0-9]+", plain(e[2] or "").casefold()) for e in entries]
-        count = Counter(t for tokens in self.tokens for t in set(tokens))
-        n = max(1, len(entries))
-        self.weight = {t: math.log(1 + n / c) for t, c in count.items()}
-        self.rare = math.log(1 + n)
-        self.holding: dict[str, list[int]] = defaultdict(list)
-        self.near: dict[str, list[str]] = defaultdict(list)
-        self.by_sound: dict[str, list[str]] = defaultdict(list)
-        self.by_first: dict[str, list[str]] = defaultdict(list)
-        for t in self.weight:
-            self.by_sound[sounded(t)].append(t)
-            self.by_first[t[0]].append(t)
-            for d in deletes(t, allowed(len(t))):
-                self.near[d].append(t)
-        self.joined: dict[str, list[int]] = defaultdict(list)
-        self.initials: dict[str, list[int]] = defaultdict(list)
-        self.by_joined: dict[str, list[int]] = defaultdict(list)
-        for i, tokens in enumerate(self.tokens):
-            for t in set(tokens):
-                self.holding[t].append(i)
-            whole = "".join(tokens)
-            self.by_joined[whole].append(i)
-            for d in deletes(whole, 1):
-                self.joined[d].append(i)
-            if len(tokens) >= 3:
-                self.initials["".join(t[0] for t in tokens)].append(i)
-        self.longest = max((len(w) for w in self.by_joined), default=0)
-        self.repaired: dict[str, dict[str, float]] = {}
-
-    def repair(self, token: str) -> dict[str, float]:
-        """Vocabulary tokens that ``token`` may stand for, each with a similarity."""
-        known = self.repaired.get(token)
-        if known is not None:
-            return known
-        out: dict[str, float] = {}
-        if token in self.weight:
-            out[token] = 1.0
-        n = len(token)
-        if n >= 4:
-            for d in deletes(token, allowed(n)):
-                for t in self.near.get(d, ()):
-                    most = min(allowed(n), allowed(len(t)))
-                    e = distance(token, t, most)
-                    if 0 < e <= most:
-                        out[t] = max(out.get(t, 0), 1 - 0.08 * e - e / (4 * len(t)))
-            for t in self.by_sound.get(sounded(token), ()):
-                if t != token:
-                    out[t] = max(out.get(t, 0), 0.86)
-        for t in self.by_first.get(token[0], ()) if n >= 2 else ():
-            s = abbreviates(token, t)
-            if s and (token not in self.weight or t.startswith(token)):
-                out[t] = max(out.get(t, 0), s)
-        if n == 1:
-            out.update((t, 0.6) for t in self.by_first.get(token, ()) if len(t) > 1)
-        if len(self.repaired) > 200_000:
-            self.repaired.clear()
-        self.repaired[token] = out
-        return out
-
-    def read(self, value: str) -> list[str]:
-        """The tokens of a typed value without the words around it."""
-        text = uncamel(plain(value)).casefold()
-        text = re.sub(r"(?<=[a-z])'(?=s\b)", "", text)
-        while (shorter := _AFTER.sub("", text)) != text and re.search(r"[a-z0-9]", shorter):
-            text = shorter
-        tokens = re.findall(r"[a-z0-9]+", text)
-        while tokens and tokens[0] in BEFORE and tokens[0] not in self.weight and not all(len(t) == 1 for t in tokens):
-            tokens = tokens[1:]
-        return [t for i, t in enumerate(tokens) if not (0 < i < len(tokens) - 1 and t in JOINING and t not in self.weight)]
-
-    def options(self, value: str | None) -> list[tuple[float, int]]:
-        """``(score, entry)`` of every entry the value may mean, best first."""
-        tokens = self.read(value) if value else []
-        if not tokens or not any(c.isalpha() for t in tokens for c in t):
-            return []
-        scores: dict[int, float] = {}
-        letters = "".join(tokens)
-        if all(len(t) == 1 for t in tokens) or len(tokens) == 1:
-            for i in self.initials.get(letters, ()):
-                scores[i] = 0.7
-        if 6 <= len(letters) <= self.longest + 2:
-            for d in deletes(letters, 1):
-                for i in self.joined.get(d, ()):
-                    e = distance(letters, "".join(self.tokens[i]), 2)
-                    if e <= (2 if len(letters) >= 9 else 1):
-                        scores[i] = max(scores.get(i, 0), 0.97 - 0.06 * e)
-        repairs = [self.repair(t) for t in tokens]
-        # a few letters alone are initials, never a shortened name
-        if all(repairs) and len(tokens) <= 8 and any(len(t) > 1 for t in tokens) and not (len(tokens) == 1 and len(letters) <= 3 and scores):
-            fewest = min(repairs, key=lambda r: sum(len(self.holding[t]) for t in r))
-            for i in {i for t in fewest for i in self.holding[t]}:
-                s = self.soft(tokens, repairs, i)
-                if s:
-                    scores[i] = max(scores.get(i, 0), s)
-        return sorted(((s, i) for i, s in scores.items()), key=lambda x: (-x[0], self.ids[x[1]]))
-
-    def soft(self, tokens: list[str], repairs: list[dict[str, float]], entry: int) -> float:
-        """Soft TF-IDF of a value against an entry; 0 unless each token of the value has its own token in the entry."""
-        theirs = self.tokens[entry]
-        if len(tokens) > len(theirs) or 2 * len(tokens) < len(theirs):
-            return 0.0
-        best = self._align(repairs, theirs, 0, 0)
-        if best is None:
-            return 0.0
-        squares = sum(self.weight[t] ** 2 for t in theirs)
-        return best[0] / squares * 0.9 + 0.1 * best[1] / len(tokens) + (0.02 if best[2] else 0)
-
-    def _align(self, repairs: list[dict[str, float]], theirs: list[str], at: int, used: int, last: int = -1, ordered: bool = True):
-        """Best one-to-one assignment: ``(weighted similarity, plain similarity, in the entry's order)``."""
-        if at == len(repairs):
-            return 0.0, 0.0, ordered
-        best = None
-        for j, t in enumerate(theirs):
-            s = 0 if used >> j & 1 else repairs[at].get(t, 0)
-            if s:
-                rest = self._align(repairs, theirs, at + 1, used | 1 << j, j, ordered and j > last)
-                if rest is not None:
-                    option = (rest[0] + s * self.weight[t] ** 2, rest[1] + s, rest[2])
-                    best = option if best is None or option > best else best
-        return best
-
-
-def decide(options: list[tuple[float, str, str | None]], guess: str | None, margin: float = 0.03) -> str:
-    """The id of the one best option; close seconds are told apart by the guessed type, or nothing is decided."""
-    if not options:
-        return UNMATCHED
-    close = [o for o in options if o[0] >= options[0][0] - margin]
-    if len(close) > 1:
-        close = [o for o in close if guess is not None and o[2] == guess] or close
-    return close[0][1] if len(close) == 1 else UNMATCHED
+
+
+def entry_tokens(name: str | None) -> list[str]:
+    return re.findall(r"[^\W_]+", plain(name or "").casefold())
+
+
+def typed_tokens(value: str, own: frozenset[str] | set[str] = frozenset()) -> list[str]:
+    """The tokens of a typed value without the words around it; words in ``own`` stand in the list and are kept."""
+    text = uncamel(plain(value)).casefold()
+    text = re.sub(r"(?<=[a-z])'(?=s\b)", "", text)
+    while (shorter := _AFTER.sub("", text)) != text and re.search(r"[^\W_]", shorter):
+        text = shorter
+    tokens = re.findall(r"[^\W_]+", text)
+    while tokens and tokens[0] in BEFORE and tokens[0] not in own and not all(len(t) == 1 for t in tokens):
+        tokens = tokens[1:]
+    return [t for i, t in enumerate(tokens) if not (0 < i < len(tokens) - 1 and t in JOINING and t not in own)]
+
+
+def likeness(token: str, word: str, known: bool) -> float:
+    """How well ``token`` may stand for the list's ``word``: 0 for not at all. ``known``: the token is itself in the list."""
+    if token == word:
+        return 1.0
+    out = 0.0
+    if len(token) >= 4:
+        most = min(allowed(len(token)), allowed(len(word)))
+        e = distance(token, word, most)
+        if 0 < e <= most:
+            out = 1 - 0.08 * e - e / (4 * len(word))
+        if sounded(token) == sounded(word):
+            out = max(out, 0.86)
+    if len(token) >= 2 and (not known or word.startswith(token)):
+        out = max(out, abbreviates(token, word))
+    return out
+
+
+def soft(like: list[list[float]], weights: list[float]) -> float:
+    """Soft TF-IDF of a value's tokens (rows of likenesses to the entry's words); 0 unless each has its own word."""
+    total = sum(w * w for w in weights)
+    # an allowed pair outweighs any sum of weights; nearer places win among equals
+    worth = [[(1 + s * w * w / total + 1e-6 / (1 + abs(i - j))) * (s > 0) for j, (s, w) in enumerate(zip(row, weights, strict=True))] for i, row in enumerate(like)]
+    at = assign(worth)
+    if any(not like[i][j] for i, j in enumerate(at)):
+        return 0.0
+    score = sum(like[i][j] * weights[j] ** 2 for i, j in enumerate(at)) / total
+    return score * 0.9 + 0.1 * sum(like[i][j] for i, j in enumerate(at)) / len(at) + (0.02 if at == sorted(at) else 0)
+
+
+def _mapped(df: DataFrame, schema: str, rows: Callable[..., list[tuple]]) -> DataFrame:
+    """``df`` through a function of a row's cells that gives any number of rows."""
+    names = [part.split()[0] for part in re.sub(r"<[^>]*>", "", schema).split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([r for cells in zip(*(pdf[c] for c in pdf.columns), strict=True) for r in rows(*cells)], columns=names)
+
+    return df.mapInPandas(run, schema)
+
+
+def _keyed(df: DataFrame, name: str, keys: Callable[[str], set[str]]) -> DataFrame:
+    """``(name, key)`` of distinct texts, the keys as 64-bit hashes."""
+    return _mapped(df.select(name), f"{name} string, key string", lambda t: [(t, k) for k in keys(t)]).select(name, F.xxhash64("key").alias("key"))
+
+
+def _word_keys(word: str) -> set[str]:
+    short = {"a" + word[:n] for n in range(2, len(word))} if len(word) <= 60 else {"a" + word[:n] for n in range(2, 60)}
+    return {"d" + k for k in near_keys(word, allowed(len(word)))} | {"s" + sounded(word), "f" + word[0]} | short
+
+
+def _token_keys(token: str) -> set[str]:
+    near = {"d" + k for k in near_keys(token, allowed(len(token)))} | {"s" + sounded(token)} if len(token) >= 4 else {"d" + token}
+    # an abbreviation begins like its word: a beginning meets it by itself, a skeleton by the first letter
+    return near | ({"a" + token[:59]} | ({"f" + token[0]} if len(token) <= SKELETON else set()) if len(token) >= 2 else set())
+
+
+def repaired(typed: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``(token, word, s)``: every word of ``vocabulary (word)`` that a token of ``typed (token)`` may stand for."""
+
+    @F.pandas_udf("double")
+    def alike(tokens: pd.Series, words: pd.Series, known: pd.Series) -> pd.Series:
+        return pd.Series([likeness(t, w, k) for t, w, k in zip(tokens, words, known, strict=True)], dtype="float64")
+
+    known = vocabulary.select(F.col("word").alias("token"), F.lit(True).alias("known"))
+    met = _keyed(typed, "token", _token_keys).join(_keyed(vocabulary, "word", _word_keys), "key").select("token", "word").distinct()
+    met = met.join(known, "token", "left").withColumn("s", alike("token", "word", F.coalesce("known", F.lit(False))))
+    return met.where("s > 0").select("token", "word", "s")
 
 
 def map_to_canonical(
@@ -187,40 +138,78 @@ def map_to_canonical(
     out: str = "suggestion_id",
 ) -> DataFrame:
     """``(key, out)``: each row's entry of the list, or ``unmatched``."""
-    spark = values.sparkSession
-    listed = entries.select(F.col(entry_id).alias("i"), F.col(entry_type).alias("t"), F.col(entry_name).alias("n")).where("i IS NOT NULL").distinct()
-    blocks = max(1, -(-listed.count() // BLOCK_ENTRIES))
-    rows = values.select(F.col(key).alias("k"), F.col(value).alias("v"), F.col(guess).alias("g")).dropDuplicates(["k"])
-    kind = values.schema[key].dataType
-    found = None
-    for n in range(blocks):
-        part = listed.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == n) if blocks > 1 else listed
-        shared = spark.sparkContext.broadcast(CanonicalList([tuple(r) for r in part.orderBy("i", "t", "n").collect()]))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index, seen = shared.value, {}
-            for pdf in batches:
-                best = []
-                for v in pdf["v"]:
-                    if v not in seen:
-                        if len(seen) > 200_000:
-                            seen.clear()
-                        top = index.options(v)
-                        seen[v] = [{"s": s, "i": index.ids[i], "t": index.types[i]} for s, i in top if s >= top[0][0] - 0.03]
-                    best.append(seen[v])
-                yield pd.DataFrame({"k": pdf["k"], "g": pdf["g"], "o": best})
-
-        options = rows.mapInPandas(run, f"k {kind.simpleString()}, g string, o array<struct<s:double,i:string,t:string>>")
-        found = options if found is None else found.unionByName(options)
-    if blocks > 1:
-        found = found.groupBy("k").agg(F.first("g", ignorenulls=True).alias("g"), F.flatten(F.collect_list("o")).alias("o"))
-
-    @F.pandas_udf("string")
-    def choose(options: pd.Series, guesses: pd.Series) -> pd.Series:
-        picked = []
-        for o, g in zip(options, guesses, strict=True):
-            ranked = sorted(((x["s"], x["i"], x["t"]) for x in (o if o is not None else ())), key=lambda x: (-x[0], x[1]))
-            picked.append(decide(ranked, g))
-        return pd.Series(picked, dtype="object")
-
-    return found.select(F.col("k").alias(key), choose("o", "g").alias(out))
+    listed = entries.select(F.col(entry_id).cast("string").alias("i"), F.col(entry_type).cast("string").alias("t"), F.col(entry_name).cast("string").alias("n")).where("i IS NOT NULL").distinct()
+    listed = listed.withColumn("e", F.md5(F.to_json(F.struct("i", "t", "n"))))
+    tokens = _mapped(listed.select("e", "n"), "e string, words array<string>", lambda e, n: [(e, w)] if (w := entry_tokens(n)) else [])
+    tokens = written(tokens.join(listed.select("e", "i", "t"), "e"), "entries")
+    size = tokens.count()
+    posted = tokens.select("e", F.explode(F.array_distinct("words")).alias("word"))
+    vocabulary = written(posted.groupBy("word").agg(F.count(F.lit(1)).alias("df")).withColumn("w", F.log(1 + F.lit(size) / F.col("df"))), "words")
+    own = frozenset(r["word"] for r in vocabulary.where(F.col("word").isin(*sorted(BEFORE | JOINING))).collect())
+    placed = tokens.select("e", F.posexplode("words").alias("at", "word")).join(vocabulary, "word")
+    entry = placed.groupBy("e").agg(F.sort_array(F.collect_list(F.struct("at", "word", "w"))).alias("theirs"))
+
+    rows = values.select(F.col(key).alias("k"), F.struct(F.col(value).cast("string").alias("v"), F.col(guess).cast("string").alias("g")).alias("r")).groupBy("k").agg(F.min("r").alias("r"))
+    rows = rows.select("k", F.sha2("r.v", 256).alias("h"), "r.v", "r.g")
+
+    def read(h: str, v: str) -> list[tuple]:
+        ts = typed_tokens(v, own)
+        return [(h, ts, "".join(ts))] if any(c.isalpha() for t in ts for c in t) else []
+
+    distinct = rows.where("v IS NOT NULL").groupBy("h").agg(F.first("v").alias("v"))
+    asked = written(_mapped(parallel(distinct).select("h", "v"), "h string, tokens array<string>, letters string", read), "values")
+
+    # initials, and words written as one
+    whole = tokens.select("e", F.array_join("words", "").alias("whole"), F.when(F.size("words") >= 3, F.array_join(F.transform("words", lambda w: F.substring(w, 1, 1)), "")).alias("initials"))
+    single = F.forall("tokens", lambda t: F.length(t) == 1) | (F.size("tokens") == 1)
+    short = asked.where(single).select("h", F.col("letters").alias("initials")).join(whole, "initials").select("h", "e", F.lit(0.7).alias("s"))
+
+    @F.pandas_udf("double")
+    def as_one(a: pd.Series, b: pd.Series) -> pd.Series:
+        edits = [distance(x, y, 2) for x, y in zip(a, b, strict=True)]
+        return pd.Series([0.97 - 0.06 * e if e <= (2 if len(x) >= 9 else 1) else 0.0 for e, x in zip(edits, a, strict=True)], dtype="float64")
+
+    one = lambda df, name: _keyed(df.select(name).distinct(), name, lambda t: near_keys(t, 1))
+    pairs = one(asked.where("length(letters) >= 6"), "letters").join(one(whole, "whole"), "key").select("letters", "whole").distinct()
+    pairs = pairs.withColumn("s", as_one("letters", "whole")).where("s > 0")
+    joined = asked.join(pairs, "letters").join(whole, "whole").select("h", "e", "s")
+    direct = written(short.unionByName(joined), "direct")
+
+    # repaired tokens
+    word_by = asked.select("h", "letters", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token"))
+    typed = word_by.select("token").where("length(token) > 1").distinct()
+    fixed = written(repaired(typed, vocabulary).join(vocabulary, "word"), "repairs")
+    by_token = fixed.groupBy("token").agg(F.sum("df").alias("many"), F.map_from_entries(F.collect_list(F.struct("word", "s"))).alias("repairs"))
+    read_as = word_by.join(by_token, "token", "left").where("repairs IS NOT NULL OR length(token) = 1")
+    per_value = read_as.groupBy("h", "n", "letters").agg(
+        F.collect_list(F.struct("at", "token", "repairs")).alias("mine"),
+        F.min(F.when(F.col("many").isNotNull(), F.struct("many", "at", "token"))).alias("rarest"),
+    )
+    # a few letters alone are initials where an entry has them, never a shortened name
+    found = direct.select("h").distinct().withColumn("found", F.lit(True))
+    alone = (F.col("n") == 1) & (F.length("letters") <= 3) & F.col("found").isNotNull()
+    # maps cannot be sorted by, so the places are
+    per_value = per_value.withColumn("mine", F.array_sort("mine", lambda a, b: a["at"] - b["at"]))
+    per_value = per_value.where((F.size("mine") == F.col("n")) & F.col("rarest").isNotNull()).join(found, "h", "left").where(~alone)
+    met = per_value.select("h", F.col("rarest.token").alias("token")).join(fixed.select("token", "word"), "token").join(posted, "word").select("h", "e").distinct()
+
+    def ranked(h: str, e: str, like: np.ndarray, weights: np.ndarray) -> list[tuple]:
+        s = soft(like.reshape(-1, len(weights)).tolist(), weights.tolist())
+        return [(h, e, s)] if s else []
+
+    fits = met.join(entry, "e").join(per_value.select("h", "mine"), "h").where((F.size("mine") <= F.size("theirs")) & (2 * F.size("mine") >= F.size("theirs")))
+    # a token of one letter has no repairs of its own: it fits whatever begins with it
+    letter = lambda m, t: F.when((m["token"] == F.substring(t["word"], 1, 1)) & (F.length(t["word"]) > 1), 0.6)
+    row = lambda m: F.transform("theirs", lambda t: F.coalesce(F.try_element_at(m["repairs"], t["word"]), letter(m, t), F.lit(0.0)))
+    fits = fits.select("h", "e", F.transform("mine", row).alias("like"), F.col("theirs.w").alias("weights")).where(F.forall("like", lambda r: F.array_max(r) > 0))
+    scored = _mapped(fits.select("h", "e", F.flatten("like").alias("like"), "weights"), "h string, e string, s double", ranked)
+    options = written(direct.unionByName(scored).join(tokens.select("e", "i", "t"), "e").groupBy("h", "i", "t").agg(F.max("s").alias("s")), "options")
+
+    # close ones are counted by type: one is the answer, several are told apart by the guess
+    best = options.groupBy("h").agg(F.max("s").alias("best"))
+    close = options.join(best, "h").where(F.col("s") >= F.col("best") - MARGIN)
+    kinds = close.groupBy("h", "t").agg(F.count(F.lit(1)).alias("c"), F.min("i").alias("i"))
+    every = kinds.groupBy("h").agg(F.sum("c").alias("c"), F.min("i").alias("i"))
+    chosen = rows.select("k", "h", "g").join(every, "h", "left").join(kinds.select("h", F.col("t").alias("g"), F.col("c").alias("cg"), F.col("i").alias("ig")), ["h", "g"], "left")
+    answer = F.when(F.col("c") == 1, F.col("i")).when((F.col("c") > 1) & (F.col("cg") == 1), F.col("ig")).otherwise(F.lit(UNMATCHED))
+    return chosen.select(F.col("k").alias(key), answer.alias(out))

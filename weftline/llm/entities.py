@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.spelling import LONGEST_WORD, abbreviates, allowed, assign, deletes, distance, plain, uncamel
+from weftline.llm.spelling import abbreviates, allowed, assign, deletes, distance, near_keys, plain, uncamel
 from weftline.plans.runtime import cut
 
 # Common given names and the short forms in use for them (a parameter of the reader).
@@ -91,6 +91,7 @@ class NameReader:
 
     def __init__(self, nicknames: dict[str, frozenset[str]] | None = None) -> None:
         self.formal = nickname_table() if nicknames is None else nicknames
+        self.longest = max(map(len, self.formal), default=0)
         self.near: dict[str, set[str]] = {}
         for name in self.formal:
             if len(name) >= 4:
@@ -102,7 +103,7 @@ class NameReader:
         """The known given name ``token`` is, perhaps misspelt by one edit; None for other tokens."""
         if token not in self.seen:
             found = token if token in self.formal else None
-            if found is None and 4 <= len(token) <= LONGEST_WORD:
+            if found is None and 4 <= len(token) <= self.longest + 1:
                 close = {n for d in deletes(token, 1) for n in self.near.get(d, ()) if distance(token, n, 1) == 1}
                 found = min(close) if len(close) == 1 or (close and len({f for n in close for f in self.formal[n]}) == 1) else None
             if len(self.seen) > 200_000:
@@ -384,7 +385,7 @@ def near_cores(cores: DataFrame) -> DataFrame:
 
     @F.udf("array<string>")
     def variants(core: str) -> list[str]:
-        return sorted(deletes(core, allowed(len(core))))
+        return sorted(near_keys(core, allowed(len(core))))
 
     @F.pandas_udf("int")
     def edits(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -393,7 +394,7 @@ def near_cores(cores: DataFrame) -> DataFrame:
     index = cores.select("kind", "core", F.explode(variants("core")).alias("v")).select("kind", "core", F.xxhash64("v").alias("h"))
     left, right = index.select("kind", "h", F.col("core").alias("a")), index.select("kind", "h", F.col("core").alias("b"))
     pairs = left.join(right, ["kind", "h"]).where("a < b").select("kind", "a", "b").distinct()
-    most = lambda c: F.when((F.length(c) < 4) | (F.length(c) > LONGEST_WORD), 0).when(F.length(c) < 7, 1).otherwise(2)
+    most = lambda c: F.when(F.length(c) < 4, 0).when(F.length(c) < 7, 1).otherwise(2)
     close = pairs.withColumn("edits", edits("a", "b")).where(F.col("edits") <= F.least(most("a"), most("b")))
     both = close.unionByName(close.select("kind", F.col("b").alias("a"), F.col("a").alias("b"), "edits"))
     return both.unionByName(cores.select("kind", F.col("core").alias("a"), F.col("core").alias("b"), F.lit(0).alias("edits")))

@@ -28,38 +28,52 @@ def uncamel(text: str) -> str:
 
 
 def distance(a: str, b: str, most: int) -> int:
-    """Edits (change, drop, add, swap of neighbours) from ``a`` to ``b``, or ``most + 1`` when there are more."""
+    """Edits (change, drop, add, swap of neighbours) from ``a`` to ``b``, or ``most + 1`` when there are more.
+
+    Only cells within ``most`` of the diagonal are filled, so the cost grows with the length, not its square.
+    """
     if a == b:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
-    while a and b and a[0] == b[0]:
-        a, b = a[1:], b[1:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
+    start, end = 0, 0
+    short = min(len(a), len(b))
+    while start < short and a[start] == b[start]:
+        start += 1
+    while end < short - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
     if not a or not b:
         return max(len(a), len(b))
-    older, old = [], list(range(len(b) + 1))
+    far, width = most + 1, 2 * most + 3  # cell k of row i stands for column i + k - most - 1
+    older, old = [far] * width, [j if 0 <= (j := k - most - 1) <= len(b) else far for k in range(width)]
     for i, x in enumerate(a, 1):
-        row = [i] + [0] * len(b)
-        for j, y in enumerate(b, 1):
-            d = min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y))
+        row = [far] * width
+        for k in range(1, width - 1):
+            j = i + k - most - 1
+            if not 0 <= j <= len(b):
+                continue
+            if j == 0:
+                row[k] = i
+                continue
+            y = b[j - 1]
+            d = min(old[k + 1] + 1, row[k - 1] + 1, old[k] + (x != y))
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, older[j - 2] + 1)
-            row[j] = d
+                d = min(d, older[k] + 1)
+            row[k] = d
         if min(row) > most:
-            return most + 1
+            return far
         older, old = old, row
-    return min(old[-1], most + 1)
-
-
-#: Letters up to which a token is compared by edits; a longer run is no typed word and only equals itself.
-LONGEST_WORD = 40
+    return min(old[len(b) - len(a) + most + 1], far)
 
 
 def allowed(n: int) -> int:
     """Edits allowed in a token of ``n`` letters."""
-    return 0 if n < 4 or n > LONGEST_WORD else 1 if n < 7 else 2
+    return 0 if n < 4 else 1 if n < 7 else 2
+
+
+#: Letters up to which neighbours are found by dropping letters; longer tokens share one of five unchanged parts.
+DROPPED = 40
 
 
 def deletes(token: str, depth: int) -> set[str]:
@@ -70,6 +84,22 @@ def deletes(token: str, depth: int) -> set[str]:
     return out
 
 
+def near_keys(token: str, depth: int) -> set[str]:
+    """Keys of which two tokens within ``depth`` (at most two) edits of each other share at least one, at any length.
+
+    Up to ``DROPPED`` letters, what is left after dropping letters. Two edits touch at most four of five parts of a longer
+    token, so a part of its index stands unchanged, moved by up to two places, in the other one.
+    """
+    n = len(token)
+    out = deletes(token, depth) if n <= DROPPED + 2 else set()
+    if n > DROPPED - 2 and depth:
+        for size in range(n - 2, n + 3):
+            for i in range(5):
+                a, b = size * i // 5, size * (i + 1) // 5
+                out |= {f"{size}/{i}/{token[at : at + b - a]}" for at in range(max(0, a - 2), min(n - (b - a), a + 2) + 1)}
+    return out
+
+
 def abbreviates(short: str, full: str) -> float:
     """How well ``short`` reads as an abbreviation of ``full``: 0 for not at all, a beginning better than a skeleton."""
     if not 2 <= len(short) < len(full) or short[0] != full[0]:
