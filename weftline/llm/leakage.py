@@ -2,13 +2,14 @@
 
 Size-partitioned MinHash containment search. Texts become words in one typography; runs of three words are shingles. The
 sketch of a text is the minimum hash of every window of three consecutive shingles, so two texts that share five words
-in a row share a sketch entry for certain - a sketch of the whole item, as plain MinHash has it, would lose a fifteen-word
-part of a long item. Items are partitioned by size; each partition has its own sorted sketch table and the number of
-entries that a passage must hit in it. Hits are verified by exact containment of the item's shingle words and a banded
-alignment, which counts changed, dropped and added words.
-
-The search is map-only over the corpus: the item tables are broadcast in blocks of at most ``BLOCK_ITEMS`` items (any
-number of blocks, so a large item set costs more scans, never memory), and nothing of a document but its findings
+in a row share a sketch entry for certain - a sketch of the whole item, as plain MinHash has it, loses a fifteen-word part
+of a long item. Items are partitioned by size: each class has its own sorted sketch table and its own threshold, the number
+of the item's shingles that a document must contain near the hits (a class of items shorter than two passages asks for what
+its shortest item leaves after the errors allowed, the others for what a passage leaves). Hits are verified by exact shingle
+containment against that threshold, and then by a banded alignment that counts changed, dropped and added words.
+
+The search is map-only over the corpus: the item tables are broadcast in blocks of at most ``BLOCK_ITEMS`` items and
+``BLOCK_CHARS`` characters (a larger item set costs further scans, never memory), and nothing of a document but its findings
 leaves its partition.
 
 Defined results
@@ -20,6 +21,7 @@ Defined results
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 from collections import defaultdict
@@ -38,8 +40,8 @@ from weftline.llm.visual_form import letter_map
 SHINGLE, WINDOW = 3, 3
 #: Equal words an aligned stretch must have; one error is allowed in so many words of it.
 MATCHED, ERROR_IN = 11, 6
-#: Items in one broadcast block.
-BLOCK_ITEMS = 20_000
+#: Items and characters of items in one broadcast block.
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 20_000_000
 #: Words of a document searched at a time.
 STRIDE = 200_000
 #: Upper ends, in words, of the item size classes; beyond them sizes go by powers of two.
@@ -52,7 +54,9 @@ LETTERS = str.maketrans(letter_map())
 
 
 def words(text: str) -> list[str]:
-    """The words of a text in one typography: width, case, look-alikes, marks of emphasis and line breaks aside."""
+    """The words of a text in one typography: character references, width, case, look-alikes, emphasis and line breaks aside."""
+    if "&" in text:
+        text = html.unescape(text)
     if not text.isascii():
         text = UNSEEN.sub("", text)
         text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).translate(LETTERS))
@@ -69,15 +73,26 @@ def hashes(tokens: list[str], known: dict[str, int]) -> np.ndarray:
     return out
 
 
-def sketch(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(minimum, position)``: the distinct window minima of a text's shingles and where each shingle starts."""
-    n = len(h) - SHINGLE + 1
-    if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def shingles(h: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every run of ``SHINGLE`` words."""
+    n = max(0, len(h) - SHINGLE + 1)
     s = np.zeros(n, np.uint64)
     for i in range(SHINGLE):
         s = (s * np.uint64(0x9E3779B97F4A7C15)) ^ (h[i : i + n] + np.uint64(i))
-    s = (s ^ (s >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (s ^ (s >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def left_of(matched: int) -> int:
+    """Shingles that at least stay whole where ``matched`` equal words stand with one error in ``ERROR_IN`` words."""
+    errors = matched // (ERROR_IN - 1)
+    return max(1, matched - (SHINGLE - 1) * (errors + 1))
+
+
+def sketch(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(minimum, position)``: the distinct window minima of a text's shingles and where each shingle starts."""
+    n = len(s)
+    if n < 1:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if n <= WINDOW:
         at = np.array([int(np.argmin(s))])
     else:
@@ -86,9 +101,10 @@ def sketch(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class SizeClass:
-    """The sketches of the items of one size class, sorted by hash."""
+    """The sketches of the items of one size class, sorted by hash, and how many shingles a leak of one must contain."""
 
     def __init__(self, items: list[int], hashed: list[np.ndarray]) -> None:
+        self.need = left_of(MATCHED) if min(map(len, hashed)) + SHINGLE - 1 > MATCHED else 1
         entries = [(v, p, i) for i, h in zip(items, hashed, strict=True) for v, p in zip(*sketch(h), strict=True)]
         value = np.array([e[0] for e in entries], np.uint64)
         order = np.argsort(value, kind="stable")
@@ -110,27 +126,29 @@ class ItemIndex:
     def __init__(self, texts: list[str]) -> None:
         known: dict[str, int] = {}
         self.words = [hashes(words(t), known) for t in texts]
+        self.shingles = [shingles(h) for h in self.words]
         classes = defaultdict(list)
         for i, h in enumerate(self.words):
             if len(h) >= MATCHED:
                 classes[next((c for c in SIZE_CLASSES if len(h) <= c), 1 << len(h).bit_length())].append(i)
-        self.classes = [SizeClass(ids, [self.words[i] for i in ids]) for _, ids in sorted(classes.items())]
+        self.classes = [SizeClass(ids, [self.shingles[i] for i in ids]) for _, ids in sorted(classes.items())]
         self.longest = max((len(h) for h in self.words), default=0)
 
     def leaks(self, h: np.ndarray) -> set[int]:
         """Items of which the text with word hashes ``h`` holds a passage."""
-        value, at = sketch(h)
+        s = shingles(h)
+        value, at = sketch(s)
         found: set[int] = set()
         for c in self.classes:
             seeds = defaultdict(list)
             for item, p, q in c.hits(value, at):
                 seeds[item].append((q - p, p, q))
             for item, where in seeds.items():
-                if item not in found and self.verified(item, h, where):
+                if item not in found and self.verified(item, h, s, where, c.need):
                     found.add(item)
         return found
 
-    def verified(self, item: int, h: np.ndarray, where: list[tuple[int, int, int]]) -> bool:
+    def verified(self, item: int, h: np.ndarray, s: np.ndarray, where: list[tuple[int, int, int]], need: int) -> bool:
         a = self.words[item]
         slack = len(a) // ERROR_IN + 2
         where.sort()
@@ -139,7 +157,9 @@ class ItemIndex:
             if seed is not None and seed[0] - group[-1][0] <= slack:
                 group.append(seed)
                 continue
-            if self.passage(a, h, group[0][0] - slack, group[-1][0] + slack):
+            low, high = group[0][0] - slack, group[-1][0] + slack
+            near = s[max(0, low) : max(0, high + len(a) + 1)]
+            if int(np.isin(self.shingles[item], near).sum()) >= need and self.passage(a, h, low, high):
                 return True
             group = [seed]
         return False
@@ -149,13 +169,18 @@ class ItemIndex:
         """Whether ``a`` has a stretch found in ``h`` on the diagonals ``low..high`` with enough equal words."""
         begin = max(0, low)
         b = h[begin : max(begin, high + len(a) + 1)]
-        if not len(b) or int(np.isin(a, b).sum()) < MATCHED:
-            return False
-        return best_stretch(a.tolist(), b.tolist(), low - begin, high - begin)
+        return len(b) > 0 and best_stretch(a.tolist(), b.tolist(), low - begin, high - begin)
 
 
 def best_stretch(a: list, b: list, low: int, high: int) -> bool:
-    """Local alignment within a band; an equal word counts 1, an error -2. True when some stretch qualifies."""
+    """Local alignment within a band; an equal word counts 1, an error -2. True when some stretch qualifies.
+
+    A second alignment counts an error -4, so that a clean run is not held to the errors of a poorer one before it.
+    """
+    return any(_stretch(a, b, low, high, price) for price in (2, 4))
+
+
+def _stretch(a: list, b: list, low: int, high: int, price: int) -> bool:
     width = high - low + 1
     none = (0, 0, 0)  # score, equal words, errors
     before = [none] * (width + 2)
@@ -166,13 +191,13 @@ def best_stretch(a: list, b: list, low: int, high: int) -> bool:
             if not 0 <= j < len(b):
                 continue
             s, eq, err = before[k]
-            best = (s + 1, eq + 1, err) if x == b[j] else (s - 2, eq, err + 1)
+            best = (s + 1, eq + 1, err) if x == b[j] else (s - price, eq, err + 1)
             s, eq, err = before[k + 1]  # a word of the item dropped
-            if s - 2 > best[0]:
-                best = (s - 2, eq, err + 1)
+            if s - price > best[0]:
+                best = (s - price, eq, err + 1)
             s, eq, err = row[k - 1]  # a word added
-            if s - 2 > best[0]:
-                best = (s - 2, eq, err + 1)
+            if s - price > best[0]:
+                best = (s - price, eq, err + 1)
             if best[0] > 0:
                 row[k] = best
                 if best[1] >= MATCHED and best[2] * ERROR_IN <= best[1] + best[2]:
@@ -187,7 +212,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
     spark = docs.sparkSession
     wanted = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
-    blocks = max(1, -(-wanted.count() // BLOCK_ITEMS))
+    size = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-size["n"] // BLOCK_ITEMS), -(-size["chars"] // BLOCK_CHARS))
     schema = T.StructType([docs.schema[key], items.schema[item_key]])
     kind = items.schema[item_key].dataType
     corpus = parallel(docs.select(key, text).where(F.col(text).isNotNull()))
