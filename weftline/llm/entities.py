@@ -65,6 +65,7 @@ WORK = set("planner auditor reviewer lead clerk manager engineer analyst directo
 NOBODY = set("that some someone somebody whoever whatever anyone person unknown tbd tbc na nobody none new".split())
 VAGUE_END = set("company auditors contact reviewer desk supplier team people office crew".split())
 
+WORD = re.compile(r"[^\W_]+")
 # Of a token: readings of organisations, of persons, with the token at the place of a given name, of a surname.
 Evidence = dict[str, tuple[int, int, int, int]]
 NOTHING = (0, 0, 0, 0)
@@ -120,14 +121,14 @@ class NameReader:
         text = re.sub(r"\bfrom\s+(?:the\s+)?[A-Z].*$", " ", text)
         text = re.sub(r"\b((?:[A-Za-z]\.){2,}[A-Za-z]?)(?=\W|$)", lambda m: m[1].replace(".", "") if m[1].replace(".", "").casefold() in LEGAL else m[1], text)
         text = uncamel(text).casefold().replace("&", " and ").replace("+", " and ")
-        parts = [p for p in text.split(",") if re.search(r"[a-z]", p)]
-        parts = [p for i, p in enumerate(parts) if not i or not any(w in WORK for w in re.findall(r"[a-z]+", p))]
+        parts = [p for p in text.split(",") if re.search(r"[^\W\d_]", p)]
+        parts = [p for i, p in enumerate(parts) if not i or not any(w in WORK for w in WORD.findall(p))]
         text = " ".join(parts)
-        tokens = re.findall(r"[a-z0-9]+", text)
-        if not tokens or tokens[0] in NOBODY or (tokens[0] in ("the", "that", "a") and tokens[-1] in VAGUE_END - {"people"}):
+        tokens = WORD.findall(text)
+        if not tokens or self.nobody(tokens, name or "") or (tokens[0] in ("the", "that", "a") and tokens[-1] in VAGUE_END - {"people"}):
             return None
-        cut_off = set(re.findall(r"\b([a-z]{2,3})\.(?=\s|$)", text)) - set(self.formal) - LEGAL - PARTNERS
-        split = [[t for t in re.findall(r"[a-z0-9]+", p) if t not in ADDRESS and not t.isdigit()] for p in parts]
+        cut_off = set(re.findall(r"\b([^\W\d_]{2,3})\.(?=\s|$)", text)) - set(self.formal) - LEGAL - PARTNERS
+        split = [[t for t in WORD.findall(p) if t not in ADDRESS and not t.isdigit()] for p in parts]
         tokens, head = [t for p in split for t in p], len(split[0]) if len(split) > 1 else 0
         if tokens and tokens[0] == "the" and not re.match(r"\s*the\.", text):
             tokens, head = tokens[1:], max(0, head - 1)
@@ -141,6 +142,14 @@ class NameReader:
         kind = hint[0] if hint in ("person", "organisation") else ""
         return f"{kind}|{head if head < len(tokens) else 0}|{min(shout) if len(shout) == 1 < len(tokens) else ''}|{int(login)}|{' '.join(t + '.' * (t in cut_off) for t in tokens)}"
 
+    @staticmethod
+    def nobody(tokens: list[str], raw: str) -> bool:
+        """Whether a name opens like one of nobody in particular. ``na`` opens a name too, ``New`` one whose words are capitals."""
+        if tokens[0] not in NOBODY or (tokens[0] == "na" and len(tokens) > 1):
+            return False
+        words = re.findall(r"[^\W\d_]+", raw)
+        return not (tokens[0] == "new" and tokens[-1] not in VAGUE_END and len(words) > 1 and words[0][0].isupper() and words[1][0].isupper())
+
     def read(self, name: str | None, hint: str | None = None, evidence: Evidence | None = None) -> str | None:
         reading = self.reading(name, hint)
         return self.form(reading, evidence or {}) if reading else None
@@ -367,9 +376,10 @@ def read_forms(names: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame([(r, *t) for r in pdf["reading"] for t in tell(r)], columns=["reading", "token", "o", "p", "g", "s"])
 
-    @F.udf("string")
-    def form(reading: str, evidence: list) -> str | None:
-        return NameReader.shared().form(reading, {e["token"]: (e["o"], e["p"], e["g"], e["s"]) for e in evidence or ()})
+    @F.pandas_udf("string")
+    def form(readings: pd.Series, evidence: pd.Series) -> pd.Series:
+        told = lambda es: {} if es is None else {e["token"]: (e["o"], e["p"], e["g"], e["s"]) for e in es}
+        return pd.Series([NameReader.shared().form(r, told(es)) for r, es in zip(readings, evidence, strict=True)], dtype="object")
 
     read = cut(names.select("key", "name", "hint").where("name IS NOT NULL").mapInPandas(run, "key string, reading string").distinct())
     once = read.select("reading").distinct()
@@ -383,9 +393,9 @@ def read_forms(names: DataFrame) -> DataFrame:
 def near_cores(cores: DataFrame) -> DataFrame:
     """``(a, b, edits)`` of all distinct cores of a kind within the allowed edits, both ways and with themselves."""
 
-    @F.udf("array<string>")
-    def variants(core: str) -> list[str]:
-        return sorted(near_keys(core, allowed(len(core))))
+    @F.pandas_udf("array<string>")
+    def variants(cores: pd.Series) -> pd.Series:
+        return cores.map(lambda c: sorted(near_keys(c, allowed(len(c)))))
 
     @F.pandas_udf("int")
     def edits(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -400,19 +410,19 @@ def near_cores(cores: DataFrame) -> DataFrame:
     return both.unionByName(cores.select("kind", F.col("core").alias("a"), F.col("core").alias("b"), F.lit(0).alias("edits")))
 
 
-def components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``(form, label)``: the least form of each connected component, by label propagation with pointer jumping."""
+def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(form, label)``: the least form of each connected component, by label propagation with pointer jumping to a fixpoint."""
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     linked = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("form"), F.least("a", "m").alias("label"))
     linked = cut(linked)
-    for _ in range(max_rounds):
+    while True:
         heard = both.join(linked.select(F.col("form").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
         step = linked.join(heard, linked["form"] == heard["a"], "left").select("form", "label", F.least("label", F.coalesce("m", "label")).alias("next"))
         jump = linked.select(F.col("form").alias("next"), F.col("label").alias("far"))
         step = step.join(jump, "next", "left").select("form", "label", F.least("next", F.coalesce("far", "next")).alias("next"))
         step = cut(step)
         linked = step.select("form", F.col("next").alias("label"))
-        if step.where("label <> next").isEmpty():
+        if step.where("label <> next").isEmpty():  # labels only fall, so this comes
             break
     return vertices.join(linked, "form", "left").select("form", F.coalesce("label", "form").alias("label"))
 
@@ -420,13 +430,13 @@ def components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 60) -> D
 def candidates(left: DataFrame, right: DataFrame, near: DataFrame, bare_left: bool, bare_right: bool) -> DataFrame:
     """``(x, y)``: forms that hold near tokens beside other tokens of the same beginning."""
 
-    @F.udf("array<struct<t:string,k:string>>")
-    def keys(form: str, bare: bool) -> list[tuple[str, str]]:
-        return NameReader.shared().keys(form, bare)
-
     def keyed(forms: DataFrame, bare: bool) -> DataFrame:
-        rows = forms.select("kind", "form", F.explode(keys("form", F.lit(bare))).alias("i"))
-        return rows.select("kind", "form", F.col("i.t").alias("t"), F.col("i.k").alias("k"))
+        def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            reader = NameReader.shared()
+            for pdf in batches:
+                yield pd.DataFrame([(kind, form, *key) for kind, form in zip(pdf["kind"], pdf["form"], strict=True) for key in reader.keys(form, bare)], columns=["kind", "form", "t", "k"])
+
+        return forms.select("kind", "form").mapInPandas(keys, "kind string, form string, t string, k string")
 
     a = keyed(left, bare_left).withColumnsRenamed({"form": "x", "t": "a"}).join(near, ["kind", "a"])
     b = keyed(right, bare_right).withColumnsRenamed({"form": "y", "t": "b"})
@@ -460,9 +470,9 @@ def grouped(forms: DataFrame, near: DataFrame, bare: bool = False) -> DataFrame:
 def link_forms(forms: DataFrame) -> DataFrame:
     """``(form, label)``: the group of every form that is in one."""
 
-    @F.udf("boolean")
-    def is_open(form: str) -> bool:
-        return NameReader.shared().open(form)
+    @F.pandas_udf("boolean")
+    def is_open(forms: pd.Series) -> pd.Series:
+        return forms.map(NameReader.shared().open).astype("bool")
 
     part = F.split("form", r"\|")
     rows = cut(forms.select("form").distinct().select("form", part[0].alias("kind"), part[1].alias("core"), part[2].alias("others"), is_open("form").alias("open")))
