@@ -1,13 +1,13 @@
 """One consistent form for text that looks the same (problem 8).
 
-Every Arrow batch is handed to an in-process DuckDB that evaluates one embedded SQL expression:
+Every Arrow batch is handed, some megabytes of text at a time, to an in-process DuckDB that evaluates one SQL expression:
 invisible characters are removed with a regular expression, compatibility forms and look-alike letters
 are mapped with ``translate``/``replace``, blanks are unified and ``nfc_normalize`` composes the accents.
 
 Defined results
     * null text: null form; a text that shows nothing (empty, only blanks or invisible characters): form ``''``.
       Neither takes part in pairs.
-    * very long texts are processed whole; rows are independent, so ties and repeated rows change nothing.
+    * very long texts are processed whole, on their own; rows are independent, so ties and repeated rows change nothing.
     * empty tables give empty results; other columns pass through ``visual_form`` untouched.
 """
 
@@ -16,7 +16,9 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +26,8 @@ from pyspark.sql import types as T
 # Letters of other scripts drawn like a Latin letter, one pair of strings per script.
 CYRILLIC = ("аеорсухіјѕһԁԛԝАВЕЅІЈКМНОРСТУХԌԛӏ", "aeopcyxijshdqwABESIJKMHOPCTYXGql")
 GREEK = ("ονρϲιυκΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳ", "ovpciukABEZHIKMNOPTYXCj")
+ARMENIAN = ("օսհցոՕՍՏ", "ouhgnOUS")
+CHEROKEE = ("ᎪᏴᏟᎬᏀᎻᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃ", "ABCEGHJKLMPSTVWZ")
 # Further forms a reader cannot tell apart from the plain one.
 PLAIN = ("‐‑⁃−ɡɑıꞏ․ｰ￠￡￥￦", "----gaı·.ー¢£¥₩")
 # Ligatures written as several letters.
@@ -44,7 +48,7 @@ MARKS = "".join(map(chr, (*range(0x300, 0x315), 0x31B, *range(0x323, 0x329), 0x3
 def letter_map() -> dict[str, str]:
     """Single-character mapping: look-alikes with every composed accent, and width forms, derived by rule."""
     table = dict(zip(PLAIN[0], PLAIN[1], strict=True))
-    for theirs, latin in (CYRILLIC, GREEK):
+    for theirs, latin in (CYRILLIC, GREEK, ARMENIAN, CHEROKEE):
         for a, b in zip(theirs, latin, strict=True):
             table[a] = b
             for mark in MARKS:
@@ -55,20 +59,44 @@ def letter_map() -> dict[str, str]:
         wide = unicodedata.normalize("NFKC", chr(code))
         if len(wide) == 1:
             table[chr(code)] = table.get(wide, wide)
+    for code in range(0x2160, 0x2180):  # Roman numerals of one letter
+        letter = unicodedata.normalize("NFKC", chr(code))
+        if len(letter) == 1:
+            table[chr(code)] = letter
     table["ﾞ"], table["ﾟ"] = "゙", "゚"
     return table
 
 
-def form_sql(column: str) -> str:
-    """The embedded DuckDB expression that brings ``column`` to its one form."""
+def several_letters() -> tuple[tuple[str, str], ...]:
+    """Characters that look like several: ligatures, and Roman numerals by rule."""
+    numerals = ((chr(code), unicodedata.normalize("NFKC", chr(code))) for code in range(0x2160, 0x2180))
+    return LIGATURES + tuple((a, b) for a, b in numerals if len(b) > 1)
+
+
+def read_confusables(path: str) -> dict[str, str]:
+    """Single characters and what they look like, from a public table of lines ``code ; code ... ; class # note``."""
+    out = {}
+    with open(path, encoding="utf-8-sig") as lines:
+        for line in lines:
+            cells = line.split("#")[0].split(";")
+            if len(cells) >= 2 and cells[0].strip() and cells[1].strip():
+                source, target = ("".join(chr(int(c, 16)) for c in cell.split()) for cell in cells[:2])
+                if len(source) == len(target) == 1 and source != target:
+                    out[source] = target
+    return out
+
+
+def form_sql(column: str, confusables: str | None = None) -> str:
+    """The embedded DuckDB expression that brings ``column`` to its one form; ``confusables`` names a further table."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    table = letter_map()
+    table = (read_confusables(confusables) if confusables else {}) | letter_map()
+    table = {a: table.get(b, b) for a, b in table.items()}
     source, target = quote("".join(table)), quote("".join(table.values()))
     expr = f"nfc_normalize(regexp_replace({column}, {quote(INVISIBLE)}, '', 'g'))"
     expr = f"nfc_normalize(translate({expr}, {source}, {target}))"
     # a mark that only now stands on its own letter may have composed into a look-alike again
     expr = f"translate({expr}, {source}, {target})"
-    for a, b in LIGATURES:
+    for a, b in several_letters():
         expr = f"replace({expr}, {quote(a)}, {quote(b)})"
     expr = f"regexp_replace({expr}, {quote(BREAKS)}, chr(10), 'g')"
     return f"regexp_replace({expr}, {quote(BLANKS)}, ' ', 'g')"
@@ -77,21 +105,35 @@ def form_sql(column: str) -> str:
 def _duck():
     import duckdb
 
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+    # nothing spills beside the process: a slice of texts fits, or the limit says so
+    con = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
     con.execute("SET preserve_insertion_order=true")
     return con
 
 
-def visual_form(df: DataFrame, text: str = "text", out: str = "form") -> DataFrame:
+#: Bytes of text that are normalised at a time; a longer text is a slice of its own.
+SLICE_BYTES = 8_000_000
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows of about ``SLICE_BYTES`` of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    part = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+    start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+    for a, b in zip(start, [*start[1:], len(part)], strict=True):
+        yield batch.slice(int(a), int(b - a))
+
+
+def visual_form(df: DataFrame, text: str = "text", out: str = "form", confusables: str | None = None) -> DataFrame:
     """``df`` with the unified form of ``text`` in a new string column ``out`` (all other columns unchanged)."""
     if out in df.columns:
         raise ValueError(f"column {out} exists already")
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
-    sql = f"SELECT {form_sql('t')} AS f FROM batch_in"
+    sql = f"SELECT {form_sql('t', confusables)} AS f FROM batch_in"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = _duck()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, whole.schema.get_field_index(text))):
             batch_in = pa.table({"t": batch.column(batch.schema.get_field_index(text)).cast(pa.large_string())})  # noqa: F841
             con.register("batch_in", batch_in)
             form = con.sql(sql).to_arrow_table().column(0).combine_chunks().cast(pa.string())
@@ -112,7 +154,7 @@ def form_keys(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = _duck()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             batch_in = pa.table({"k": batch.column(0), "t": batch.column(1).cast(pa.large_string())})  # noqa: F841
             con.register("batch_in", batch_in)
             found = con.sql(sql).to_arrow_table().combine_chunks()
@@ -130,7 +172,7 @@ def lookalike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     any join. Pairs are first made between distinct spellings of a form and only then given their rows.
     Result: ``<key>_a``, ``<key>_b`` with the smaller key first, each pair once; repeated rows of a key count once.
     """
-    from weftline.plans.runtime import cut
+    from weftline.plans.runtime import broadcast_if_small, cut
 
     # the hashes are read several times; a checkpoint keeps the texts from being normalised again
     keys = cut(form_keys(docs, key, text))
@@ -141,5 +183,6 @@ def lookalike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     pairs = a.join(b, "form_key").where("ta < tb")
     left = rows.select(F.col(key).alias("ka"), "form_key", F.col("text_key").alias("ta"))
     right = rows.select(F.col(key).alias("kb"), "form_key", F.col("text_key").alias("tb"))
-    found = pairs.join(left, ["form_key", "ta"]).join(right, ["form_key", "tb"])
+    # few spellings pair at all: where they are that few, the rows of a hot text stay in place
+    found = broadcast_if_small(pairs).join(left, ["form_key", "ta"]).join(right, ["form_key", "tb"])
     return found.select(F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b")).distinct()
