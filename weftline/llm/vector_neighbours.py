@@ -5,10 +5,13 @@ A vector searches all trees through one shared priority queue: nodes are taken b
 their path, whatever tree they are in, until ``visits`` leaves are found. Queries and members meet in the leaves, where
 cosines come from blocked matrix products; the best few of each leaf are reranked in double precision.
 
-Scale: leaves hold about ``leaf_rows`` members at any size, as the trees are fitted to ``rows / leaf_rows`` leaves, so
-work grows as rows times visits; nothing but the trees (bounded by ``SAMPLE_ROWS``) is broadcast or collected. Exact
-copies - however many - are searched as one vector that stands for its ``k + 1`` lowest ids, which is all that can be
-among anyone's k nearest.
+Scale: nothing but the trees is broadcast or collected, and these are bounded by ``SAMPLE_ROWS``: a tree is fitted to
+``rows / leaf_rows`` leaves, but never to more than half the sample's rows. Beyond that a leaf grows with the data; where one
+holds more than ``SPLIT_FROM`` times ``leaf_rows`` members, the task that has it splits it on with a tree of its own, and a
+query scans its ``INNER_VISITS`` nearest parts. So a query meets about ``leaf_rows`` members a visit at any size, and work
+grows as rows times visits. Blocks hold fewer leaves as leaves grow, which bounds what a task holds. Exact copies - however
+many - are searched as one vector that stands for its ``k + 1`` lowest ids, which is all that can be among anyone's k
+nearest; the copies of a vector held by more than ``HOT`` rows get their answer from a short broadcast list, in place.
 
 Defined results
     * a usable vector has the given width, only finite numbers and not all zero; others (null, short, empty) are left out.
@@ -33,7 +36,11 @@ from weftline.plans.runtime import written
 #: Rows of the sample the trees are fitted on (bounded; every row is indexed).
 SAMPLE_ROWS = 40_000
 #: Nodes up to which margins come from one matrix product (a choice of speed, results are the same).
-DENSE_NODES = 16_384
+DENSE_NODES = 4_096
+#: A leaf is split on where it holds so many times ``leaf_rows`` members; a query then scans so many of its parts.
+SPLIT_FROM, INNER_VISITS = 4, 3
+#: Rows of one vector from which its copies are answered from a broadcast list (at most rows / HOT vectors).
+HOT = 100_000
 
 
 def fit_tree(sample: np.ndarray, leaves: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -180,7 +187,30 @@ def top_in_leaf(queries: np.ndarray, members: np.ndarray, keep: int, block: int
     return found
 
 
-def search_block(vid: np.ndarray, raw: np.ndarray, member: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+def parts_of(members: np.ndarray, queries: np.ndarray, leaf_rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(members, queries)`` row numbers of the parts that a leaf is scanned in: itself, or those of a tree of its own."""
+    if len(members) <= SPLIT_FROM * leaf_rows:
+        yield np.arange(len(members)), np.arange(len(queries))
+        return
+    rng = np.random.default_rng(len(members))
+    sample = members if len(members) <= SAMPLE_ROWS else members[rng.choice(len(members), SAMPLE_ROWS, replace=False)]
+    tree = Forest([fit_tree(sample, round(len(members) / leaf_rows), rng)])
+    step = range(0, max(len(members), len(queries)), 2000)
+    home = np.concatenate([tree.home(members[i : i + 2000])[:, 0] for i in step if i < len(members)])
+    reached = np.concatenate([_wide(tree.search(queries[i : i + 2000], INNER_VISITS)) for i in step if i < len(queries)])
+    order, asked = np.argsort(home, kind="stable"), np.argsort(reached.ravel(), kind="stable")
+    start, first = (np.searchsorted(v, np.arange(tree.leaves + 1)) for v in (home[order], reached.ravel()[asked]))
+    for leaf in range(tree.leaves):
+        inside, ask = order[start[leaf] : start[leaf + 1]], asked[first[leaf] : first[leaf + 1]] // reached.shape[1]
+        if len(inside) and len(ask):
+            yield inside, ask
+
+
+def _wide(reached: np.ndarray) -> np.ndarray:
+    return np.pad(reached, ((0, 0), (0, INNER_VISITS - reached.shape[1])), constant_values=-1)
+
+
+def search_block(vid: np.ndarray, raw: np.ndarray, member: np.ndarray, query: np.ndarray, k: int, leaf_rows: int = 512) -> tuple[np.ndarray, ...]:
     """Best ``k + 1`` others of each query of a block of leaves: ``(query id, far, other id)``, far = -cosine in 1e-9 units.
 
     ``member`` and ``query`` are ``(row, leaf)`` pairs. Leaves are ranked in single precision with a margin of three, the
@@ -192,17 +222,20 @@ def search_block(vid: np.ndarray, raw: np.ndarray, member: np.ndarray, query: np
     qs, ms = [], []
     for leaf in np.unique(query[:, 1]):
         inside, ask = member[member[:, 1] == leaf, 0], query[query[:, 1] == leaf, 0]
-        if len(inside):
-            best = top_in_leaf(single[ask], single[inside], k + 4)
-            qs.append(np.repeat(ask, best.shape[1]))
-            ms.append(inside[best.ravel()])
+        for some, asking in parts_of(single[inside], single[ask], leaf_rows) if len(inside) else ():
+            best = top_in_leaf(single[ask[asking]], single[inside[some]], k + 4)
+            qs.append(np.repeat(ask[asking], best.shape[1]))
+            ms.append(inside[some][best.ravel()])
     if not qs:
         return (np.zeros(0, np.int64),) * 3
     pairs = np.unique(np.concatenate(qs) * np.int64(len(vid)) + np.concatenate(ms))
     q, m = pairs // len(vid), pairs % len(vid)
     other = vid[q] != vid[m]
     q, m = q[other], m[other]
-    far = -np.rint(np.einsum("ij,ij->i", unit[q], unit[m]) * 1e9).astype(np.int64)
+    far = np.empty(len(q), np.int64)
+    for at in range(0, len(q), 50_000):
+        part = slice(at, at + 50_000)
+        far[part] = -np.rint(np.einsum("ij,ij->i", unit[q[part]], unit[m[part]]) * 1e9).astype(np.int64)
     order = np.lexsort((vid[m], far, q))
     q, m, far = q[order], m[order], far[order]
     start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
@@ -262,12 +295,13 @@ def similar_vectors(
     vector: str = "embedding",
     k: int = 5,
     width: int = 64,
-    trees: int = 8,
+    trees: int = 4,
     leaf_rows: int = 512,
-    visits: int = 28,
+    visits: int = 30,
     sample_rows: int = SAMPLE_ROWS,
-    block_leaves: int = 16,
+    block_leaves: int = 32,
     seed: int = 7,
+    hot_rows: int = HOT,
 ) -> DataFrame:
     """``(<key>, neighbour, similarity, rank)``: for each usable vector its ``k`` most similar others by cosine.
 
@@ -285,8 +319,11 @@ def similar_vectors(
     sample = (sample / np.linalg.norm(sample, axis=1, keepdims=True)).astype(np.float32)
     rng = np.random.default_rng(seed)
     leaves = max(1, round(total / leaf_rows))
-    forest = spark.sparkContext.broadcast(Forest([fit_tree(sample, leaves, rng) for _ in range(trees)]))
-    del sample
+    fitted = Forest([fit_tree(sample, leaves, rng) for _ in range(trees)])
+    forest = spark.sparkContext.broadcast(fitted)
+    # leaves that outgrow their size come in smaller blocks
+    block_leaves = max(1, min(block_leaves, int(block_leaves * leaf_rows * fitted.leaves / max(1, 0.75 * total * trees))))
+    del sample, fitted
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = forest.value
@@ -320,7 +357,7 @@ def similar_vectors(
             column = table.column(name).combine_chunks()
             sizes = np.diff(column.offsets.to_numpy())
             pairs.append(np.stack([np.repeat(np.arange(len(vid)), sizes), column.flatten().to_numpy()], 1))
-        q, far, other = search_block(vid, raw, *pairs, k)
+        q, far, other = search_block(vid, raw, *pairs, k, leaf_rows)
         start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
         options = pa.StructArray.from_arrays([pa.array(far), pa.array(other)], names=["far", "b"])
         return pa.table({"a": pa.array(q[start]), "options": lists(options, np.diff(np.r_[start, len(q)]))})
@@ -339,8 +376,15 @@ def similar_vectors(
     # rows of a vector: its representatives by their array; further copies of a hot vector by a join on its hash
     few = distinct.where(F.size("reps") <= k).select(F.col("vid").alias("a"), F.explode("reps").alias("id"))
     hot = distinct.where(F.size("reps") > k).select(F.col("vid").alias("a"), "h")
-    many = rows.select("id", "h").join(hot, "h").select("a", "id").distinct()
-    members = few.unionByName(many).join(options, "a")
+    many = rows.select("id", "h").join(hot, "h")
+    very = [r["h"] for r in rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("h").collect()] if total else []
+    if very:
+        # rows of the hottest vectors never move: their few answers come to them
+        shared = F.broadcast(hot.where(F.col("h").isin(very)).join(options, "a").select("h", "options"))
+        many = many.where(~F.col("h").isin(very))
+        copies = rows.select("id", "h").where(F.col("h").isin(very)).join(shared, "h").select("id", "options").dropDuplicates(["id"])
+    members = few.unionByName(many.select("a", "id").distinct()).join(options, "a").select("id", "options")
+    members = members.unionByName(copies) if very else members
     picked = F.slice(F.filter("options", lambda o: o["neighbour"] != F.col("id")), 1, k)
     out = members.select("id", F.posexplode(picked).alias("pos", "o"))
     kind = df.schema[key].dataType
