@@ -56,6 +56,10 @@ def test_text(spark):
     for a, b, want in (([1.0, 0.0], [1.0, 0.0], 1.0), ([1.0, 0.0], [0.0, 1.0], 0.0), ([1.0], [1.0, 2.0], 0.0), ([], [], 0.0), ([0.0, 0.0], [1.0, 0.0], 0.0)):
         assert one(spark, text.cosine("a", "b"), a=a, b=b) == pytest.approx(want)
     assert "naive" in one(spark, text.index_tokens("c"), c="Naïve approach")
+    vectors = [[1.0, 0.0], [3.0, 4.0], [0.0, 0.0], [], None, [1.0], [float("nan"), 1.0], [None, 1.0]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "i int, v array<float>")
+    got = {r["i"]: r["similarity"] for r in text.with_cosine(df, "v", [2.0, 0.0]).collect()}
+    assert got == pytest.approx({0: 1.0, 1: 0.6} | dict.fromkeys(range(2, 8), 0.0))
 
 
 def nodes_of(spark, links):

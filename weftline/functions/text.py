@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions.ids import _col, words
 
@@ -82,6 +87,28 @@ def snippet(body: Column | str, query: list[str]) -> Column:
     return F.array_join(F.when(at > 0, F.slice(w, start.cast("int"), (at + 8 - start).cast("int"))).otherwise(F.slice(w, 1, 12)), " ")
 
 
+def with_cosine(df: DataFrame, vector: str, asked: list[float], out: str = "similarity") -> DataFrame:
+    """``df`` with the cosine of its column ``vector`` to one vector in place of it, as one matrix product an Arrow batch.
+
+    0 where lengths differ, a vector is null, empty or zero, or has a null or an element that is no number.
+    """
+    question = np.asarray(asked, np.float64)
+    rest = [c for c in df.columns if c != vector]
+    schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(out, T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors, similarity = batch.column(len(rest)), np.zeros(batch.num_rows)
+            fits = pc.equal(pc.list_value_length(vectors), len(question)).fill_null(False)
+            x = np.asarray(vectors.filter(fits).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, len(question))
+            with np.errstate(all="ignore"):
+                s = x @ question / (np.linalg.norm(x, axis=1) * np.linalg.norm(question))
+            similarity[np.asarray(fits.to_numpy(zero_copy_only=False), bool)] = np.where(np.isfinite(s), s, 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(similarity)], names=[*rest, out])
+
+    return df.select(*rest, vector).mapInArrow(run, schema) if len(question) else df.select(*rest, F.lit(0.0).alias(out))
+
+
 def cosine(a: Column | str, b: Column | str) -> Column:
     """Cosine similarity of two vectors; 0 where lengths differ, or a vector is empty or zero."""
     a, b = _col(a), _col(b)

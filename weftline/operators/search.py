@@ -1,7 +1,8 @@
 """Ranked retrieval: full text, names and aliases, vectors; and suggestions for a descriptor.
 
 The three passes are projections of pruned scans that meet in one aggregate by node; only nodes with a score reach it.
-The filters on type and scope are per node, so they run before ranking without changing it; top-k is a bounded heap.
+The filters on type and scope are per node, so they run before ranking without changing it; top-k is a bounded heap. Anchors
+and their snippets are made in a second look at the sections of the winners alone.
 """
 
 from __future__ import annotations
@@ -11,10 +12,13 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text
 from weftline.functions.ids import local_id
+from weftline.plans.runtime import cut
 
 # The weights of the three passes and of suggestions, and the anchors a hit shows.
 ALIAS_WEIGHT, FTS_WEIGHT, VECTOR_WEIGHT, VECTOR_THRESHOLD, MAX_ANCHORS = 5.0, 1.0, 1.0, 0.9, 3
 SUGGEST_EXACT, SUGGEST_TOKENS, SUGGEST_FTS = 3.0, 2.0, 0.5
+#: Winners up to which their ids are broadcast.
+FEW = 10_000
 ANCHOR = "struct<heading:string,line:int,snippet:string>"
 
 
@@ -41,7 +45,8 @@ def candidates(name: Column | str = "name", aliases: Column | str = "aliases") -
 
 def fts_pass(sections: DataFrame, query: list[str], index: DataFrame | None = None) -> DataFrame:
     """Full-text hits a section: substring occurrences of all query tokens in the body of matching sections."""
-    rows = matching(sections, query, index).withColumn("tf", text.term_frequency("body", query)).where("tf > 0")
+    # the count of substrings is far cheaper than the tokens of a section, so it comes first
+    rows = matching(sections.withColumn("tf", text.term_frequency("body", query)).where("tf > 0"), query, index)
     return rows.select(F.col("node_id").alias("id"), (F.col("tf") * FTS_WEIGHT).cast("double").alias("score"), F.lit(1).alias("priority"), "heading", "line", text.snippet("body", query).alias("snippet"))
 
 
@@ -55,8 +60,7 @@ def alias_pass(nodes: DataFrame, sections: DataFrame, query: list[str]) -> DataF
 
 def vector_pass(embeddings: DataFrame, sections: DataFrame, vector: list[float], query: list[str], threshold: float = VECTOR_THRESHOLD) -> DataFrame:
     """Sections whose vector is at least ``threshold`` similar to the query's."""
-    asked = F.array(*(F.lit(float(x)).cast("float") for x in vector))
-    near = embeddings.select("node_id", F.col("section_line").alias("line"), text.cosine("vector", asked).alias("similarity")).where(F.col("similarity") >= threshold)
+    near = text.with_cosine(embeddings.select("node_id", F.col("section_line").alias("line"), "vector"), "vector", vector).where(F.col("similarity") >= threshold)
     rows = near.join(sections, ["node_id", "line"])
     return rows.select(F.col("node_id").alias("id"), (F.col("similarity") * VECTOR_WEIGHT).alias("score"), F.lit(3).alias("priority"), "heading", "line", text.snippet("body", query).alias("snippet"))
 
@@ -87,15 +91,24 @@ def search(
         nodes = nodes.join(scope_members(edges, scope, scope_field), "id", "left_semi")
     if not asked:
         asked, nodes = ["\0"], nodes.where("false")
-    hits = fts_pass(sections, asked, index).unionByName(alias_pass(nodes, sections, asked))
-    if embeddings is not None and vector:
-        hits = hits.unionByName(vector_pass(embeddings, sections, vector, asked, threshold))
+
+    def passes(nodes: DataFrame, sections: DataFrame, vectors: DataFrame | None) -> DataFrame:
+        hits = fts_pass(sections, asked, index).unionByName(alias_pass(nodes, sections, asked))
+        return hits if vectors is None or not vector else hits.unionByName(vector_pass(vectors, sections, vector, asked, threshold))
+
+    best = passes(nodes, sections, embeddings).groupBy("id").agg(F.sum("score").alias("score")).where("score > 0").join(nodes.select("id", "type", "path"), "id")
+    if limit is not None:
+        best = cut(best.orderBy(F.desc("score"), "id").limit(limit))
+        few = best.select("id") if limit > FEW else F.broadcast(best.select("id"))
+        of = lambda df: df.join(few.select(F.col("id").alias("node_id")), "node_id", "left_semi")
+        nodes, sections, embeddings = nodes.join(few, "id", "left_semi"), of(sections), None if embeddings is None else of(embeddings)
+    hits = passes(nodes, sections, embeddings)
     anchor = F.when(F.col("line").isNotNull(), F.struct("line", "priority", "heading", "snippet"))
-    per_node = hits.groupBy("id").agg(F.sum("score").alias("score"), F.sort_array(F.collect_list(anchor)).alias("a"), F.min("priority").alias("least"))
+    per_node = hits.groupBy("id").agg(F.sort_array(F.collect_list(anchor)).alias("a"), F.min("priority").alias("least"))
     kept = F.filter("a", lambda x: (x["priority"] != 2) | (F.col("least") != 1))
     first = F.filter(kept, lambda x: ~F.exists(kept, lambda y: (y["line"] == x["line"]) & (y["priority"] < x["priority"])))
     anchors = F.transform(F.slice(first, 1, MAX_ANCHORS), lambda x: F.struct(x["heading"].alias("heading"), x["line"].alias("line"), x["snippet"].alias("snippet")))
-    rows = per_node.where("score > 0").join(nodes.select("id", "type", "path"), "id").select("id", "type", "path", "score", anchors.alias("anchors"))
+    rows = best.join(per_node, "id").select("id", "type", "path", "score", anchors.alias("anchors"))
     return _ranked(rows, limit, local=scope is not None)
 
 

@@ -442,18 +442,18 @@ SELECT top.rank, top.id, top.type, top.path, round(top.score, 4) AS score, pos -
 
 @query(_PASSES + _HYBRID)
 def search_anchors(spark: SparkSession, sf: str) -> DataFrame:
-    """``search_hybrid`` with a row an anchor."""
-    rows = search_hybrid(spark, sf).select("rank", "id", "type", "path", F.round("score", 4).alias("score"), F.posexplode_outer("anchors").alias("pos", "a"))
+    """Ranked hybrid search with a row an anchor."""
+    rows = hybrid(spark, sf).select("rank", "id", "type", "path", F.round("score", 4).alias("score"), F.posexplode_outer("anchors").alias("pos", "a"))
     return rows.select("rank", "id", "type", "path", "score", "pos", "a.heading", "a.line", "a.snippet")
 
 
 @query(_PASSES + _HYBRID.replace("SELECT top.rank", "SELECT DISTINCT top.rank").replace(", pos - 1 AS pos, shown.heading, shown.line, shown.snippet FROM top", ", (SELECT count(*) FROM shown s WHERE s.id = top.id AND s.pos <= 3) AS anchors FROM top"))
-def search_ranked(spark: SparkSession, sf: str) -> DataFrame:
-    """``search_hybrid`` with the number of its anchors."""
-    return search_hybrid(spark, sf).select("rank", "id", "type", "path", F.round("score", 4).alias("score"), F.size("anchors").cast("long").alias("anchors"))
+def search_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranked hybrid search with the number of anchors."""
+    return hybrid(spark, sf).select("rank", "id", "type", "path", F.round("score", 4).alias("score"), F.size("anchors").cast("long").alias("anchors"))
 
 
-def search_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+def hybrid(spark: SparkSession, sf: str) -> DataFrame:
     """All three passes with anchors; the query's vector is that of the lowest usable section."""
     vectors = views.embeddings(spark, sf)
     asked = vectors.agg(F.min_by("vector", "datum_id")).first()[0]
@@ -501,8 +501,8 @@ def section_tokens(spark: SparkSession, sf: str) -> DataFrame:
 @query(f", {_VECTOR} SELECT datum_id, node_id, round(list_cosine_similarity(vector::DOUBLE[], (SELECT v FROM q)::DOUBLE[]), 6) AS similarity FROM g_vectors WHERE len(list_filter(vector, lambda x: x <> 0)) > 0 AND list_cosine_similarity(vector::DOUBLE[], (SELECT v FROM q)::DOUBLE[]) >= 0.4")
 def vector_search(spark: SparkSession, sf: str) -> DataFrame:
     vectors = views.embeddings(spark, sf)
-    asked = F.array(*(F.lit(float(x)).cast("float") for x in vectors.agg(F.min_by("vector", "datum_id")).first()[0]))
-    return vectors.select("datum_id", "node_id", F.round(text.cosine("vector", asked), 6).alias("similarity"), text.cosine("vector", asked).alias("s")).where("s >= 0.4").drop("s")
+    near = text.with_cosine(vectors.select("datum_id", "node_id", "vector"), "vector", vectors.agg(F.min_by("vector", "datum_id")).first()[0])
+    return near.where("similarity >= 0.4").withColumn("similarity", F.round("similarity", 6))
 
 
 # --- index maintenance ----------------------------------------------------------------------------------------------------
@@ -593,7 +593,7 @@ def p5_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """Ranked hybrid search with anchors."""
-    return search_hybrid(spark, sf)
+    return hybrid(spark, sf)
 
 
 def queries() -> dict[str, Query]:
