@@ -160,18 +160,18 @@ class Forest:
         return np.where(pri > -np.inf, -at - 1, -1)
 
 
-def top_in_leaf(queries: np.ndarray, members: np.ndarray, keep: int, block: int = 512, fold: int = 8) -> np.ndarray:
-    """Row numbers of each query's ``keep`` best members by single-precision cosine, ``(queries, <= keep)``.
+def top_in_leaf(queries: np.ndarray, members: np.ndarray, keep: int, block: int = 512, fold: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of each query's ``keep`` best members by single-precision cosine, ``(queries, <= keep)``, and the cosines.
 
     Columns are folded: the best ``keep`` lie in the ``keep`` best of the columns' groups, so only those are ranked.
     """
     n = len(members)
     if n <= keep:
-        return np.broadcast_to(np.arange(n), (len(queries), n))
+        return np.broadcast_to(np.arange(n), (len(queries), n)), queries @ members.T
     groups = -(-n // fold)
     if groups <= 2 * keep:
         fold, groups = 1, n
-    found = np.empty((len(queries), keep), np.int64)
+    found, cosines = np.empty((len(queries), keep), np.int64), np.empty((len(queries), keep), np.float32)
     for at in range(0, len(queries), block):
         part = queries[at : at + block]
         s = np.full((len(part), fold * groups), -2, np.float32)
@@ -184,7 +184,8 @@ def top_in_leaf(queries: np.ndarray, members: np.ndarray, keep: int, block: int
             found[at : at + block] = np.take_along_axis(column, inner, 1)
         else:
             found[at : at + block] = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-    return found
+        cosines[at : at + block] = np.take_along_axis(s, found[at : at + block], 1)
+    return found, cosines
 
 
 def parts_of(members: np.ndarray, queries: np.ndarray, leaf_rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -213,22 +214,30 @@ def _wide(reached: np.ndarray) -> np.ndarray:
 def search_block(vid: np.ndarray, raw: np.ndarray, member: np.ndarray, query: np.ndarray, k: int, leaf_rows: int = 512) -> tuple[np.ndarray, ...]:
     """Best ``k + 1`` others of each query of a block of leaves: ``(query id, far, other id)``, far = -cosine in 1e-9 units.
 
-    ``member`` and ``query`` are ``(row, leaf)`` pairs. Leaves are ranked in single precision with a margin of three, the
-    survivors are reranked exactly in double precision.
+    ``member`` and ``query`` are ``(row, leaf)`` pairs. Leaves are ranked in single precision with a margin of three. One leaf
+    alone shows how near a query's ``k + 2`` best (itself among them) must be at least: what is farther, by more than single
+    precision can err, is out, and the survivors are reranked exactly in double precision.
     """
     unit = raw.astype(np.float64)
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     single = unit.astype(np.float32)
-    qs, ms = [], []
+    qs, ms, ss, floor = [], [], [], np.full(len(vid), -2, np.float32)
     for leaf in np.unique(query[:, 1]):
         inside, ask = member[member[:, 1] == leaf, 0], query[query[:, 1] == leaf, 0]
         for some, asking in parts_of(single[inside], single[ask], leaf_rows) if len(inside) else ():
-            best = top_in_leaf(single[ask[asking]], single[inside[some]], k + 4)
-            qs.append(np.repeat(ask[asking], best.shape[1]))
-            ms.append(inside[some][best.ravel()])
+            asked, there = ask[asking], inside[some]
+            best, cosines = top_in_leaf(single[asked], single[there], k + 4)
+            if best.shape[1] >= k + 2:
+                at = best.shape[1] - k - 2
+                np.maximum.at(floor, asked, np.partition(cosines, at, axis=1)[:, at])
+            qs.append(np.repeat(asked, best.shape[1]))
+            ms.append(there[best.ravel()])
+            ss.append(cosines.ravel())
     if not qs:
         return (np.zeros(0, np.int64),) * 3
-    pairs = np.unique(np.concatenate(qs) * np.int64(len(vid)) + np.concatenate(ms))
+    q, m = np.concatenate(qs), np.concatenate(ms)
+    near = np.concatenate(ss) >= floor[q] - np.float32(1e-5)
+    pairs = np.unique(q[near] * np.int64(len(vid)) + m[near])
     q, m = pairs // len(vid), pairs % len(vid)
     other = vid[q] != vid[m]
     q, m = q[other], m[other]
