@@ -52,6 +52,30 @@ def test_similar_vectors_match_brute_force(spark):
     assert got[1059] == [3, 1000, 1001, 1002, 1003] == want[1059] and got[3] == [1000, 1001, 1002, 1003, 1004]
 
 
+def test_leaves_beyond_the_sample_are_split_on(spark):
+    """A tiny sample fits a few leaves only; the tasks split them on, so no scan grows with the data."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((40, 8))[rng.integers(0, 40, 5000)] + 0.3 * rng.standard_normal((5000, 8))
+    vectors = dict(enumerate(x.tolist()))
+    df = spark.createDataFrame(list(vectors.items()), "datum_id bigint, embedding array<float>")
+    near = vector_neighbours.similar_vectors(df, width=8, k=5, leaf_rows=32, visits=24, trees=4, sample_rows=60).collect()
+    want, got = brute_neighbours(vectors, 5), {}
+    for r in near:
+        got.setdefault(r["datum_id"], set()).add(r["neighbour"])
+    assert sum(len(got[i] & set(want[i])) for i in want) / (5 * len(want)) > 0.9
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    sizes = [len(m) for m, _ in vector_neighbours.parts_of(unit, unit[:500], 32)]
+    assert max(sizes) <= vector_neighbours.SPLIT_FROM * 32 and sum(sizes) >= 4000
+
+
+def test_a_vector_that_a_third_of_all_rows_hold(spark):
+    rng = np.random.default_rng(6)
+    vectors = {i: rng.standard_normal(8).tolist() for i in range(400)} | {1000 + i: [1.0] * 8 for i in range(200)}
+    df = spark.createDataFrame([*vectors.items(), (1001, [1.0] * 8)], "datum_id bigint, embedding array<float>")
+    got = [sorted(tuple(r) for r in vector_neighbours.similar_vectors(df, width=8, hot_rows=h).collect()) for h in (100, 10**9)]
+    assert got[0] == got[1] and len(got[0]) == 5 * 600
+
+
 def test_similar_vectors_of_few_and_none(spark):
     none = spark.createDataFrame([], "datum_id bigint, embedding array<float>")
     assert vector_neighbours.neighbour_pairs(none, width=2).collect() == []
@@ -261,6 +285,22 @@ def test_short_names_link(spark):
     assert rows(entities.entity_pairs(spark.createDataFrame(data, "key string, name string, hint string"))) == {("a", "b"), ("c", "d"), ("e", "f")}
 
 
+def test_names_of_any_letters_and_length_link(spark):
+    same = [("Ann Lee", "Ann Lee"), ("Wei Li", "Li, Wei"), ("Anna Maria van der Berg", "Berg, Anna Maria van der"), ("Иван Петров", "Петров, Иван"), ("王小明", "王小明"), ("Na Li", "Na Li"), ("Sue Ng", "NG Sue")]
+    firms = [("New Horizons Ltd", "New Horizons Ltd"), ("IBM", "IBM"), ("Acme Bakery", "Acme Bakery")]
+    data = [(f"{h}{i}{side}", n, h) for h, pairs in (("person", same), ("organisation", firms)) for i, both in enumerate(pairs) for side, n in zip("ab", both, strict=True)]
+    data += [("x1", "new hire in Records", "person"), ("x2", "new hire in Records", "person"), ("x3", "NA", "person"), ("x4", "NA", "person"), ("x5", "New Supplier", "organisation"), ("x6", "New Supplier", "organisation")]
+    want = {(f"{h}{i}a", f"{h}{i}b") for h, pairs in (("person", same), ("organisation", firms)) for i in range(len(pairs))}
+    assert rows(entities.entity_pairs(spark.createDataFrame(data, "key string, name string, hint string"))) == want
+
+
+def test_long_chains_of_links_are_followed_to_the_end(spark):
+    edges = spark.createDataFrame([(f"{i:05d}", f"{i + 1:05d}") for i in range(1200)], "a string, b string")
+    vertices = edges.select(F.col("a").alias("form")).union(spark.createDataFrame([("01200",), ("zz",)], "form string"))
+    got = dict(tuple(r) for r in entities.components(vertices, edges).collect())
+    assert got == {f"{i:05d}": "00000" for i in range(1201)} | {"zz": "zz"}
+
+
 def test_open_names_without_a_full_one_link(spark):
     pairs = [("J. Hendersen", "J. Henderson", "person"), ("Heimtrijack Group", "Heimtrjack Group", "organisation"), ("Glulpegrust Ltd", "Glulpegrst Ltd", "organisation"), ("Swanbridge", "K. Swanbridge", "person")]
     data = [(f"{i}{side}", n, hint) for i, (*both, hint) in enumerate(pairs) for side, n in zip("ab", both, strict=True)]
@@ -320,11 +360,13 @@ def test_leaks(spark):
         8: "",
         9: items[0][1] + " " + items[1][1],
         11: "​".join(items[1][1][i : i + 3] for i in range(0, len(items[1][1]), 3)),
+        12: "before " + "&nbsp;".join(w[2][3:20]) + " behind",
+        13: " ".join(x for i, word in enumerate(w[3][:25]) for x in (["worse", word] if i % 3 == 0 else [word])) + " " + " ".join(w[3][25:42]),  # a poor part, then a clean one
     }
     data = [*docs.items(), (10, None), (1, docs[1])]
     df = spark.createDataFrame(data, "doc_id bigint, text string").withColumn("item_id", F.lit("clash"))
     frame = spark.createDataFrame([*items, items[0], (77, None)], "item_id bigint, text string")
-    assert rows(leakage.leaked_items(df, frame)) == {(1, 0), (3, 1), (4, 2), (5, 3), (9, 0), (9, 1), (11, 1)}
+    assert rows(leakage.leaked_items(df, frame)) == {(1, 0), (3, 1), (4, 2), (5, 3), (9, 0), (9, 1), (11, 1), (12, 2), (13, 3)}
     assert leakage.leaked_items(df, frame.where("false")).collect() == []
     assert leakage.leaked_items(df.where("false"), frame).collect() == []
 
@@ -332,7 +374,7 @@ def test_leaks(spark):
 def test_leaks_in_blocks(spark, monkeypatch):
     items = [(i, " ".join(f"v{i}x{j}" for j in range(30))) for i in range(9)]
     df = spark.createDataFrame([(i, "intro " + t + " end") for i, t in items], "doc_id bigint, text string")
-    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 2)
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 500)
     assert rows(leakage.leaked_items(df, spark.createDataFrame(items, "item_id bigint, text string"))) == {(i, i) for i in range(9)}
 
 
@@ -343,7 +385,18 @@ def test_shared_runs_share_a_sketch_entry(seed):
     a = [f"a{i}" for i in range(r.randint(0, 9))] + run + [f"b{i}" for i in range(r.randint(0, 9))]
     b = [f"c{i}" for i in range(r.randint(0, 9))] + run + [f"d{i}" for i in range(r.randint(0, 9))]
     known = {}
-    assert set(leakage.sketch(leakage.hashes(a, known))[0]) & set(leakage.sketch(leakage.hashes(b, known))[0])
+    assert set(leakage.sketch(leakage.shingles(leakage.hashes(a, known)))[0]) & set(leakage.sketch(leakage.shingles(leakage.hashes(b, known)))[0])
+
+
+def test_shingles_left_are_a_lower_bound():
+    r = random.Random(4)
+    for _ in range(3000):
+        n = leakage.MATCHED + r.randint(0, 12)
+        errors = n // (leakage.ERROR_IN - 1)
+        marks = [False] * errors + [True] * n
+        r.shuffle(marks)
+        runs = [sum(1 for _ in g) for ok, g in itertools.groupby(marks) if ok]
+        assert sum(max(0, k - leakage.SHINGLE + 1) for k in runs) >= leakage.left_of(n)
 
 
 # --- 8: visual forms ------------------------------------------------------------------------------------------------------
@@ -364,6 +417,16 @@ def test_forms(spark):
     assert visual_form.lookalike_pairs(df.where("false")).collect() == []
 
 
+def test_forms_of_a_given_table_and_in_slices(spark, tmp_path, monkeypatch):
+    table = tmp_path / "confusables.txt"
+    table.write_text("# note\n1D00 ;\t0061 ;\tMA\t# small capital a\n0131 0307 ; 0069 ; MA\n")
+    monkeypatch.setattr(visual_form, "SLICE_BYTES", 10)
+    df = spark.createDataFrame([(0, "bᴀnd Ⅷ"), (1, "band VIII"), (2, None), (3, "x" * 50), (4, "ᎻᎪᏞᎢ"), (5, "HALT")], "doc_id bigint, text string").coalesce(1)
+    form = [r["form"] for r in visual_form.visual_form(df, confusables=str(table)).orderBy("doc_id").collect()]
+    assert form == ["band VIII", "band VIII", None, "x" * 50, "HALT", "HALT"]
+    assert rows(visual_form.lookalike_pairs(df)) == {(4, 5)}
+
+
 def test_copies_pair_with_variants_only(spark):
     data = [(i, "same text") for i in range(30)] + [(100, "same text"), (101, "ѕame text"), (0, "same text"), (200, "alone"), (201, "alone")]
     df = spark.createDataFrame(data, "doc_id bigint, text string").withColumn("form_key", F.lit(1)).withColumn("text_key", F.lit(1))
