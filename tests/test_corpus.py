@@ -189,6 +189,7 @@ def test_files_on_disk(spark, tmp_path):
     c.index(working_tree=True)
     assert tables(spark, root) == committed  # names that begin with a dot or an underline are read too
     corpora.write(root, {"beds/plants/fig.md": "---\nid: fig\ntype: plant\nname: Fig, uncommitted\n---\n"})
+    assert c.render("plant:fig")["markdown"] == "---\nid: fig\ntype: plant\nname: Fig, uncommitted\n---\n"  # the file as it is now
     assert c.check(working_tree=True)[0]["ok"] and c.resolve("plant:fig")["frontmatter"]["name"] == "Fig, uncommitted"
     assert (c.status()["source"], c.status()["last_indexed_commit"]) == ("working-tree", None)
     c.index()
@@ -262,6 +263,24 @@ def test_before_and_behind_an_index(spark, tmp_path, monkeypatch):
     assert c.search("pumps")["count"] == 1
 
 
+def test_files_that_arrive_as_a_stream(spark, tmp_path):
+    from weftline.config import Config
+    from weftline.streaming import incremental
+
+    root, out, mark = (str(tmp_path / n) for n in ("files", "out", "mark"))
+    config = Config(id_prefixes=("bed", "plant"))
+
+    def run() -> dict:
+        incremental.index_stream(incremental.read_stream(spark, root), out, mark, config).awaitTermination(120)
+        file = {"node_versions": "path", "edges": "source_file"}
+        return {t: {tuple(r) for r in incremental.current(spark, out, t, f).select(*c).collect()} for (t, f), c in zip(file.items(), (("id", "name"), ("from_id", "to_id")), strict=True)}
+
+    corpora.write(tmp_path / "files", {"a.md": "---\nid: a\ntype: bed\nname: One\ngrows: plant:x\n---\n", "b.md": "---\nid: x\ntype: plant\nname: X\n---\n"})
+    assert run() == {"node_versions": {("bed:a", "One"), ("plant:x", "X")}, "edges": {("bed:a", "plant:x")}}
+    corpora.write(tmp_path / "files", {"c/a2.md": "---\nid: c\ntype: bed\nname: Two\n---\n[[plant:x]]\n"})
+    assert run() == {"node_versions": {("bed:a", "One"), ("bed:c", "Two"), ("plant:x", "X")}, "edges": {("bed:a", "plant:x"), ("bed:c", "plant:x")}}
+
+
 def test_secrets_come_from_the_marker_folder(tmp_path, monkeypatch):
     monkeypatch.delenv("SOME_KEY", raising=False)
     api.init(tmp_path)

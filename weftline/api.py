@@ -12,13 +12,14 @@ from weftline import config as conf
 from weftline.errors import IdNotFound, UsageError
 from weftline.functions.embedding import Embedder, embedder_of
 from weftline.operators import check as checks
-from weftline.operators import graph
+from weftline.operators import graph, parse
 from weftline.operators import render as rendering
 from weftline.operators import search as retrieval
 from weftline.plans import build as building
 from weftline.plans import store as index
 from weftline.sources import files as source
 
+# Keys and defaults of a configuration file, as ``Config`` has them.
 DEFAULT_CONFIG = """# The corpus' configuration; everything else beside it is derived.
 include = ["knowledge/**/*.md", "projects/**/*.md"]
 exclude = ["**/node_modules/**", "**/drafts/**", "**/archive/**"]
@@ -80,19 +81,17 @@ class Corpus:
             missing = graph.resolve_all(nodes, self.spark.createDataFrame([(id,)], "id string")).collect()
             raise IdNotFound(missing[0]["missing"] if missing else id)
         r = found[0]
-        fm = {k: v for k, v in json.loads(r["frontmatter"]).items() if k not in ("id", "type")}
+        fm = {k: v for k, v in json.loads(r["frontmatter"]).items() if k not in parse.ADDRESS}
         out = {"id": r["id"], "type": r["type"], "path": r["path"], "frontmatter": fm}
         return out | ({"requested_id": r["requested_id"]} if r["requested_id"] else {}) | {"superseded_by": r["superseded_by"]}
 
     def render(self, id: str) -> dict:
         parse_id(id)
-        store = self.store()
-        asked = self.spark.createDataFrame([(id,)], "id string")
-        found = rendering.render(store.nodes, store.documents, asked, self.config).collect()
-        if not found:
-            missing = graph.resolve_all(store.nodes, asked).collect()
-            raise IdNotFound(missing[0]["missing"] or id)
-        return found[0].asDict()
+        store, path = self.store(), self.resolve(id)["path"]
+        asked, file = self.spark.createDataFrame([(id,)], "id string"), self.root / path
+        # the file as it is now; the indexed text where there is none any more
+        text = self.spark.createDataFrame([(path, file.read_bytes().decode("utf-8", "replace"))], source.DOCUMENT) if file.is_file() else store.documents
+        return rendering.render(store.nodes, text, asked, self.config).first().asDict()
 
     def backlinks(self, id: str, type: str | None = None, limit: int | None = None) -> dict:
         parse_id(id)
@@ -137,12 +136,9 @@ class Corpus:
             self.index(working_tree=True)
         store = self.store()
         report: dict = {"ok": True, "violations": [], "warnings": []}
-        found = checks.check(store.nodes, store.node_files, store.edges, self.config.id_prefixes)
-        order = {k: i for i, k in enumerate(("duplicate_id", "dangling_ref", "orphan", "drift", "frontmatter_wikilink", "unknown_type"))}
-        by_place = ("dangling_ref", "drift")
-        rows = sorted((r.asDict() for r in found.collect()), key=lambda r: (order[r["kind"]], *((r["path"] or "", r["line"] or 0) if r["kind"] in by_place else ("", 0)), r["id"], r["field"] or ""))
-        for r in rows:
-            shown = {k: v for k, v in r.items() if v is not None and k != "severity"}
+        found = checks.ordered(checks.check(store.nodes, store.node_files, store.edges, self.config.id_prefixes))
+        for r in found.toLocalIterator():
+            shown = {k: v for k, v in r.asDict().items() if v is not None and k != "severity"}
             if r["kind"] == "dangling_ref":
                 shown["from"] = shown.pop("id")
             report["violations" if r["severity"] == "violation" else "warnings"].append(shown)

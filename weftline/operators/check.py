@@ -12,6 +12,7 @@ from weftline.operators.parse import INLINE, NON_EDGE_KEYS
 
 FIELDS = ("kind", "severity", "id", "to", "field", "value", "path", "paths", "line")
 VIOLATIONS = ("duplicate_id", "dangling_ref")
+KINDS = (*VIOLATIONS, "orphan", "drift", "frontmatter_wikilink", "unknown_type")
 
 
 def duplicate_ids(node_files: DataFrame) -> DataFrame:
@@ -80,6 +81,13 @@ def unknown_types(nodes: DataFrame, vocabulary: Iterable[str]) -> DataFrame:
     return rows.where(kind.isNotNull() & ~kind.isin(*vocabulary)).select("id", "field", "value", "path")
 
 
+def ordered(found: DataFrame) -> DataFrame:
+    """Findings by check, those of edges then by place, all by id and field."""
+    kind = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind"))
+    placed = F.col("kind").isin("dangling_ref", "drift")
+    return found.orderBy(kind, F.when(placed, F.coalesce("path", F.lit(""))), F.when(placed, F.coalesce("line", F.lit(0))), "id", F.coalesce("field", F.lit("")), "to", "value")
+
+
 def check(nodes: DataFrame, node_files: DataFrame, edges: DataFrame, vocabulary: Iterable[str]) -> DataFrame:
     """All findings in one shape: ``kind severity id to field value path paths line``."""
 

@@ -11,7 +11,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,8 @@ from weftline.functions import ids
 #: Frontmatter keys that are never references.
 NON_EDGE_KEYS = ("id", "type", "superseded_by", "name", "aliases")
 INLINE = "inline"
+#: Frontmatter keys that make the id; a node's shown fields are the others.
+ADDRESS = ("id", "type")
 
 _REF = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType()), T.StructField("line", T.IntegerType())])
 _LINK = T.StructType([T.StructField("inner", T.StringType()), T.StructField("line", T.IntegerType())])
@@ -230,6 +232,12 @@ def sections(parsed: DataFrame) -> DataFrame:
     return parsed.select(F.col("id").alias("node_id"), F.col("path").alias("source_file"), F.explode("sections").alias("s")).select("node_id", "s.heading", "s.line", "s.body", "source_file")
 
 
+def shown_fields(frontmatter: Column | str = "frontmatter") -> Column:
+    """The frontmatter fields a reader is shown, as a map of texts (lists and objects as JSON); null for broken JSON."""
+    fields = F.from_json(frontmatter, "map<string,string>")
+    return F.map_filter(fields, lambda k, _: ~k.isin(*ADDRESS))
+
+
 NODE = ("id", "type", "path", "frontmatter", "name", "aliases", "superseded_by")
 
 

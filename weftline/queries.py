@@ -154,6 +154,15 @@ def status_by_type(spark: SparkSession, sf: str) -> DataFrame:
     return graph.count_by_type(views.nodes(spark, sf))
 
 
+@query(
+    """, parsed AS (SELECT id, frontmatter::JSON AS fm FROM g_nodes WHERE json_valid(frontmatter) AND json_type(frontmatter) = 'OBJECT'), fields AS (SELECT id, unnest(json_keys(fm)) AS field, fm FROM parsed)
+SELECT id, field, replace(fm ->> ('$."' || field || '"'), '", "', '","') AS "value" FROM fields WHERE field NOT IN ('id', 'type')"""
+)
+def frontmatter_view(spark: SparkSession, sf: str) -> DataFrame:
+    rows = views.nodes(spark, sf).select("id", F.explode(parse.shown_fields()).alias("field", "value"))
+    return rows.withColumn("value", F.replace("value", F.lit('", "'), F.lit('","')))
+
+
 # --- checks ---------------------------------------------------------------------------------------------------------------
 
 

@@ -42,9 +42,3 @@ def current(spark: SparkSession, out: str, table: str, file: str) -> DataFrame:
     """A table as of the last batch each file came in: later batches of a file replace earlier ones whole."""
     latest = spark.read.parquet(f"{out}/files").groupBy(F.col("path").alias(file)).agg(F.max("batch").alias("batch"))
     return spark.read.parquet(f"{out}/{table}").join(latest, [file, "batch"], "left_semi").drop("batch")
-
-
-def late_references(edges: DataFrame, delay: str = "30 days") -> DataFrame:
-    """A stream of edges counted by day and target type, with a watermark on the time they were committed."""
-    timed = edges.withColumn("at", F.col("committed_at").cast("timestamp")).withWatermark("at", delay)
-    return timed.groupBy(F.window("at", "1 day").alias("w"), F.substring_index(F.substring_index("to_id", "/", -1), ":", 1).alias("type")).agg(F.count("*").alias("n")).select("w.start", "type", "n")
