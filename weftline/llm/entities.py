@@ -50,12 +50,29 @@ robert: bob bobby rob | roderick: rod roddy | rosalind: roz ros | samuel: sam sa
 theodore: theo ted teddy | thomas: tom tommy | timothy: tim timmy | tobias: toby | ulrich: uli | ursula: ulla
 valentina: val | victoria: vicky tori vic | vincent: vince vinny | wilhelmina: mina willa billie
 william: bill billy will liam | winifred: winnie freda | xavier: xavi | zachary: zach zack
-akiko: | arjun: | aurelie: | bjorn: | farida: | hamid: | ines: | ingrid: | jorg: | kenji: | lindiwe: | lukasz: | marta: | noor:
-nuria: | oskar: | priya: | quentin: | soren: | tamsin: | themba: | wei: | yusuf: | zoe:
 """
-# Words that make a name an organisation's: lines of business, legal forms, partners.
-BUSINESS = """engineering logistics printing manufacturing laboratories foods textiles energy shipping insurance consulting
-instruments freight chemicals robotics construction services holdings media software trading transport""".split()
+# Common given names of many countries that have no usual short form (a parameter of the reader, as above); hardly any
+# of four letters, which one edit turns into too many other words.
+GIVEN = """agnieszka ahmed aisha akiko alejandro amara anita antonio arjun astrid aurelie bjorn carlos carmen chiara clara dario
+diego elena emeka enrique farida fatima fernando fiona freya giulia giovanni goran greta hamid hannah hassan helga
+hiroshi ibrahim ines ingrid irina jamal javier jorg julia kamal karim keiko kenji kwame laura leila lindiwe lucia
+lukasz magnus malik mario marta mehmet miguel mohammed monika nadia noor nuria oskar pablo paolo pavel pedro pierre
+priya quentin rafael rahul sakura sandra sanjay sergei silvia sofia soren sunita svetlana tamsin tariq themba tomoko
+vikram wei yasmin yusuf zainab zoe zofia"""
+# Words that make a name an organisation's: lines of business (the divisions of the public ISIC Rev. 4
+# classification in the words that firms use for them), legal forms, partners. They only add to what all rows tell.
+BUSINESS = """accounting advertising aerospace agriculture airlines aquaculture architecture automotive bakery banking beverages
+biotechnology brewing broadcasting catering cement ceramics chemicals cleaning clothing communications
+construction consulting cosmetics dairy design distribution electric electrical electronics energy engineering entertainment
+equipment estates exports farming finance financial fisheries foods footwear forestry foundry freight furniture gaming
+haulage healthcare holdings hospitality hotels imports industries information instruments insurance investment investments
+jewellery laboratories leasing logistics machinery manufacturing marketing materials media metals minerals mining
+motors networks nutrition optics packaging petroleum pharmaceuticals plastics plumbing printing properties publishing
+railways recycling refining rentals repairs research restaurants retail robotics rubber sanitation sawmills security
+semiconductors services shipping shipyards software solutions staffing storage supplies systems technologies
+technology telecom telecommunications textiles tobacco tourism trading training transport transportation travel
+utilities ventures veterinary warehousing waste wholesale""".split()
+KNOWN_LINES = frozenset(BUSINESS)
 LEGAL = set("llc oy ltd limited bv gmbh ag inc incorporated sa plc co corp corporation nv ab as srl spa kg pty lp llp".split())
 PARTNERS = set("partners sons daughters brothers bros co associates son".split())
 LOOSE = {"group", "and", "u", "und", "y", "et", "the", "of"}
@@ -71,10 +88,10 @@ Evidence = dict[str, tuple[int, int, int, int]]
 NOTHING = (0, 0, 0, 0)
 
 
-def nickname_table(text: str = NICKNAMES) -> dict[str, frozenset[str]]:
+def nickname_table(text: str = NICKNAMES, given: str = GIVEN) -> dict[str, frozenset[str]]:
     """Given name or short form -> the formal names it may stand for."""
     table: dict[str, set[str]] = {}
-    for part in re.split(r"[|\n]", text):
+    for part in [*re.split(r"[|\n]", text), *given.split()]:
         formal, _, short = part.partition(":")
         for name in (formal.strip(), *short.split()):
             if name:
@@ -99,6 +116,13 @@ class NameReader:
                 for d in deletes(name, 1):
                     self.near.setdefault(d, set()).add(name)
         self.seen: dict[str, str | None] = {}
+        self.near_line: dict[str, set[str]] = {}
+        self.line_by_first: dict[str, list[str]] = {}
+        for word in BUSINESS:
+            self.line_by_first.setdefault(word[0], []).append(word)
+            for d in deletes(word, 2):
+                self.near_line.setdefault(d, set()).add(word)
+        self.longest_line = max(map(len, BUSINESS))
 
     def given(self, token: str) -> str | None:
         """The known given name ``token`` is, perhaps misspelt by one edit; None for other tokens."""
@@ -162,11 +186,21 @@ class NameReader:
 
     def line(self, token: str) -> bool:
         """Whether a token is, perhaps misspelt, a line of business of the table."""
-        return token in BUSINESS or (len(token) >= 5 and self.given(token) is None and any(distance(token, b, allowed(len(token))) <= allowed(len(token)) for b in BUSINESS))
+        if token in KNOWN_LINES:
+            return True
+        if not 5 <= len(token) <= self.longest_line + 2 or self.given(token) is not None:
+            return False
+        most = allowed(len(token))
+        return any(distance(token, b, most) <= most for d in deletes(token, most) for b in self.near_line.get(d, ()))
 
     def shortened(self, token: str) -> bool:
         """Whether a token is a line of business cut short."""
-        return token.endswith(".") or (3 <= len(token) <= 5 and token not in BUSINESS and self.given(token) is None and any(abbreviates(token, b) for b in BUSINESS)) or (len(token) >= 3 and self.given(token) is None and any(b != token and b.startswith(token) for b in BUSINESS))
+        if token.endswith("."):
+            return True
+        if len(token) < 3 or self.given(token) is not None:
+            return False
+        alike = self.line_by_first.get(token[0], ())
+        return (len(token) <= 5 and token not in KNOWN_LINES and any(abbreviates(token, b) for b in alike)) or any(b != token and b.startswith(token) for b in alike)
 
     def _organisation(self, tokens: list[str], hint: str, evidence: Evidence) -> str | None:
         skip = LEGAL | PARTNERS | LOOSE
@@ -183,7 +217,7 @@ class NameReader:
                 return None
         core = min([t for t in rest if t not in lines] or rest, key=lambda t: (t.endswith("."), sum(evidence.get(t, NOTHING)[:2]), -len(t) if not evidence else 0))
         rest.remove(core)
-        return f"o|{core}|{' '.join(sorted(set(rest) - {core}))}|{' '.join(sorted({t for t in rest if t in BUSINESS}))}"
+        return f"o|{core}|{' '.join(sorted(set(rest) - {core}))}|{' '.join(sorted({t for t in rest if t in KNOWN_LINES}))}"
 
     def _person(self, tokens: list[str], head: int, shout: str, login: bool, evidence: Evidence) -> str | None:
         kept = [(i < head, t) for i, t in enumerate(tokens) if t not in LEGAL or len(t) == 1 or self.given(t)]
@@ -272,7 +306,7 @@ class NameReader:
             return 1 - 0.1 * e, e, 0
         if kind == "o" and not cores:
             short, full = (s, t) if len(s) <= len(t) else (t, s)
-            if short not in BUSINESS and (len(short) >= 3 and full.startswith(short) or 3 <= len(short) <= 5 and abbreviates(short, full)):
+            if short not in KNOWN_LINES and (len(short) >= 3 and full.startswith(short) or 3 <= len(short) <= 5 and abbreviates(short, full)):
                 return 0.5, 0, -1 if short == s else 1
         return 0.0, 0, 0
 
