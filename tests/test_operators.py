@@ -94,6 +94,43 @@ def test_traversal(spark):
     assert graph.refs(nodes, edges, "a:none", 2).collect() == []
 
 
+def test_reach_is_traversal_of_a_type(spark):
+    """Cycles, self-links, repeated links, loose ends and targets that start themselves; as traverse has it from every node."""
+    nodes = nodes_of(spark, dict.fromkeys(["a:1", "a:2", "b:1", "b:2", "b:3", "c:1", "c:2", "d:1"])).repartition(3)
+    links = [("a:1", "a:2"), ("a:1", "a:2"), ("a:1", "a:9"), ("a:9", "b:1"), ("a:2", "b:1"), ("b:1", "b:2"), ("b:2", "b:1"), ("b:2", "b:2"), ("b:2", "c:1"), ("c:1", "a:1"), ("c:1", "b:3"), ("a:1", "b:3"), ("b:3", "c:2"), ("z:1", "b:2")]
+    edges = spark.createDataFrame([(a, b, "x", i, i) for i, (a, b) in enumerate(links)], "from_id string, to_id string, ref_type string, line int, seq int")
+    for depth in (0, 1, 4):
+        every = {tuple(r) for r in graph.traverse(nodes, edges, nodes.select("id"), depth).drop("ref_type", "line").collect()}
+        for type in ("b", "d") if depth else ("b",):
+            got = [tuple(r) for r in graph.reach(nodes, edges, type, depth).collect()]
+            assert sorted(got) == sorted(r for r in every if r[2] == type), (depth, type)
+        assert bool(depth) == any(r[2] == "b" for r in every)
+    assert graph.reach(nodes.where("false"), edges, "b", 2).collect() == []
+
+
+def test_type_filter_moves_no_pairs_of_other_types(spark, tmp_path):
+    """200 notes that all lead to each other: 40,000 pairs, of which 200 are of the type asked for."""
+    from weftline.queries import QUERIES
+
+    n, at = 200, "timestamp_ntz'2024-01-01'"
+    hub = f"SELECT 'system:s' AS id UNION ALL SELECT 'note:hub' UNION ALL SELECT concat('note:', id) FROM range({n})"
+    spark.sql(f"SELECT id, split(id, ':')[0] AS type, id AS path, '{{}}' AS frontmatter, id AS name, array('') AS aliases, '' AS superseded_by, {at} AS indexed_at, CAST(NULL AS timestamp_ntz) AS deleted_at FROM ({hub})").write.parquet(f"{tmp_path}/nodes.parquet")
+    ends = f"SELECT concat('note:', id) AS f, 'note:hub' AS t FROM range({n}) UNION ALL SELECT 'note:hub', concat('note:', id) FROM range({n}) UNION ALL SELECT 'note:hub', 'system:s'"
+    spark.sql(f"SELECT monotonically_increasing_id() AS edge_id, f AS from_id, t AS to_id, 'x' AS ref_type, 'inline' AS origin, f AS source_file, 1 AS line, 1 AS seq FROM ({ends})").write.parquet(f"{tmp_path}/edges.parquet")
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+    quantiles = spark.sparkContext._gateway.new_array(jvm.double, 0)
+
+    def moved():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, quantiles, jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = moved()
+    rows = QUERIES["refs_type_filter"](spark, str(tmp_path)).collect()
+    assert sorted((r["start"], r["id"], r["distance"]) for r in rows) == sorted([("note:hub", "system:s", 1), *((f"note:{i}", "system:s", 2) for i in range(n))])
+    assert sum(v for k, v in moved().items() if k not in before) < n * n / 4
+
+
 def test_orphans(spark):
     nodes = spark.sql("""SELECT * FROM VALUES ('n:1', timestamp_ntz'2024-01-01', CAST(NULL AS timestamp_ntz)), ('n:2', timestamp_ntz'2024-01-01', timestamp_ntz'2024-02-01'),
       ('n:3', timestamp_ntz'2024-05-01', NULL), ('n:4', timestamp_ntz'2024-01-01', NULL), ('n:5', timestamp_ntz'2024-01-01', NULL), ('n:1', timestamp_ntz'2024-01-01', NULL) AS t(id, indexed_at, deleted_at)""")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.plans.runtime import broadcast_if_small, cut, written
+from weftline.plans.runtime import broadcast_if_small, cut, numbered, written
 
 
 def backlinks(nodes: DataFrame, edges: DataFrame, id: str, type: str | None = None, limit: int | None = None) -> DataFrame:
@@ -68,6 +68,37 @@ def traverse(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int =
     return found
 
 
+def reach(nodes: DataFrame, edges: DataFrame, type: str, depth: int = 1) -> DataFrame:
+    """Every node with the other nodes of ``type`` within ``depth`` hops of it: ``start id type path distance``.
+
+    The rows that ``traverse`` from all nodes has of that type, without their references: the way there may lead over nodes
+    of any type. The walk goes backwards from the nodes of the type, so that what never meets one is not built. Nodes go
+    by dense numbers. What a node is within reach of crosses as one array a link, a number for each target and its distance,
+    and becomes rows only where all that a start gets is together; rows of pairs are never shuffled or kept.
+    """
+    known, count = numbered(nodes.select("id", "type", "path"))
+    span = depth + 1
+    number = "int" if count * span < 1 << 31 else "long"
+    known = known.withColumn("ix", F.col("ix").cast(number))
+    side = lambda id, ix: known.select(F.col("id").alias(id), F.col("ix").alias(ix)).hint("shuffle_hash")
+    ends = edges.select("from_id", "to_id").where("from_id <> to_id").distinct()
+    links = written(ends.join(side("from_id", "f"), "from_id").join(side("to_id", "t"), "to_id").select("f", "t"), "links")
+    targets = known.where(F.col("type") == type)
+    own = targets.select(F.col("ix").alias("t"), F.array((F.col("ix") * span).cast(number)).alias("codes"))
+    within, pairs = own, None
+    for distance in range(1, depth + 1):
+        got = links.join(within, "t").select("f", "codes").repartition("f").select("f", F.explode("codes").alias("code"))
+        target = F.expr(f"code div {span}").cast(number)
+        pairs = got.groupBy("f", target.alias("target")).agg((F.min("code") + 1).alias("code")).where("f <> target")
+        if distance < depth:
+            within = written(pairs.groupBy(F.col("f").alias("t")).agg(F.collect_list("code").alias("codes")), "within").unionByName(own)
+    if pairs is None:
+        return known.where("false").select(F.col("id").alias("start"), "id", "type", "path", F.lit(0).alias("distance"))
+    rows = pairs.select("f", "target", (F.col("code") % span).cast("int").alias("distance")).join(side("start", "f"), "f")
+    rows = rows.join(broadcast_if_small(targets.withColumnRenamed("ix", "target")), "target")
+    return rows.select("start", "id", "type", "path", "distance")
+
+
 def refs(nodes: DataFrame, edges: DataFrame, id: str, depth: int = 1, type: str | None = None) -> DataFrame:
     """Nodes that ``id`` references within ``depth`` hops, by distance and id. The type filter comes after the traversal."""
     rows = traverse(nodes, edges, nodes.sparkSession.createDataFrame([(id,)], "id string"), depth).drop("start")

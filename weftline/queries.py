@@ -102,7 +102,7 @@ def refs_depth2(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_HOPS.format(depth=3, more="") + " WHERE n.type = 'system'")
 def refs_type_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return _refs(spark, sf, 3).where("type = 'system'").drop("ref_type", "line")
+    return graph.reach(views.nodes(spark, sf), views.edges(spark, sf), "system", 3)
 
 
 _CHAIN = """, chain(requested, cur, path, state, hops) AS (SELECT id, id, []::VARCHAR[], 'on', 0 FROM asked
