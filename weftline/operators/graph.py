@@ -73,8 +73,9 @@ def reach(nodes: DataFrame, edges: DataFrame, type: str, depth: int = 1) -> Data
 
     The rows that ``traverse`` from all nodes has of that type, without their references: the way there may lead over nodes
     of any type. The walk goes backwards from the nodes of the type, so that what never meets one is not built. Nodes go
-    by dense numbers. What a node is within reach of crosses as one array a link, a number for each target and its distance,
-    and becomes rows only where all that a start gets is together; rows of pairs are never shuffled or kept.
+    by dense numbers. What a node is within reach of crosses as one array a link, a number for each target and its distance;
+    a start's arrays are sorted together, the first number of a target counts, and only then they become rows. Rows of pairs
+    are never kept, and shuffled only for their names where the targets are too many for a broadcast.
     """
     known, count = numbered(nodes.select("id", "type", "path"))
     span = depth + 1
@@ -85,17 +86,19 @@ def reach(nodes: DataFrame, edges: DataFrame, type: str, depth: int = 1) -> Data
     links = written(ends.join(side("from_id", "f"), "from_id").join(side("to_id", "t"), "to_id").select("f", "t"), "links")
     targets = known.where(F.col("type") == type)
     own = targets.select(F.col("ix").alias("t"), F.array((F.col("ix") * span).cast(number)).alias("codes"))
-    within, pairs = own, None
+    first = f"f <> code div {span} AND (i = 0 OR code div {span} <> get(codes, i - 1) div {span})"
+    within, sets = own, None
     for distance in range(1, depth + 1):
-        got = links.join(within, "t").select("f", "codes").repartition("f").select("f", F.explode("codes").alias("code"))
-        target = F.expr(f"code div {span}").cast(number)
-        pairs = got.groupBy("f", target.alias("target")).agg((F.min("code") + 1).alias("code")).where("f <> target")
+        sets = links.join(within, "t").groupBy("f").agg(F.sort_array(F.flatten(F.collect_list("codes"))).alias("codes"))
         if distance < depth:
-            within = written(pairs.groupBy(F.col("f").alias("t")).agg(F.collect_list("code").alias("codes")), "within").unionByName(own)
-    if pairs is None:
+            # outer: no array is empty, and no filter on its size is planned that would sort it twice
+            pairs = sets.select("f", "codes", F.posexplode_outer("codes").alias("i", "code")).where(first)
+            within = written(pairs.groupBy(F.col("f").alias("t")).agg(F.collect_list((F.col("code") + 1).cast(number)).alias("codes")), "within").unionByName(own)
+    if sets is None:
         return known.where("false").select(F.col("id").alias("start"), "id", "type", "path", F.lit(0).alias("distance"))
-    rows = pairs.select("f", "target", (F.col("code") % span).cast("int").alias("distance")).join(side("start", "f"), "f")
-    rows = rows.join(broadcast_if_small(targets.withColumnRenamed("ix", "target")), "target")
+    pairs = sets.join(side("start", "f"), "f").select("f", "start", "codes", F.posexplode_outer("codes").alias("i", "code")).where(first)
+    pairs = pairs.select("start", F.expr(f"code div {span}").cast(number).alias("target"), (F.col("code") % span + 1).cast("int").alias("distance"))
+    rows = pairs.join(broadcast_if_small(targets.withColumnRenamed("ix", "target")), "target")
     return rows.select("start", "id", "type", "path", "distance")
 
 
